@@ -104,18 +104,23 @@ def fit_standard(train: DataFrame, cols: list[str]) -> Column:
         for c in cols])).scalar()
 
 
+def _bind(df: DataFrame, stats: Column) -> tuple[DataFrame, Column]:
+    """Evaluate a stats scalar subquery once per query (one column), not once per use."""
+    return df.withColumn("_st", stats), F.col("_st")
+
+
 def scale_standard(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean_train) / std_pop_train for ``cols``."""
-    s = fit_standard(train, cols)
-    return df.select(*[c for c in df.columns if c not in cols],
-                     *[((F.col(c) - s[c]["mu"]) / s[c]["sd"]).alias(c) for c in cols])
+    d, s = _bind(df, fit_standard(train, cols))
+    return d.select(*[c for c in df.columns if c not in cols],
+                    *[((F.col(c) - s[c]["mu"]) / s[c]["sd"]).alias(c) for c in cols])
 
 
 def scale_minmax(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     """(x - min) / (max - min); a constant column maps to 0."""
-    s = train.select(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
-                                for c in cols])).scalar()
-    return df.select(*[c for c in df.columns if c not in cols], *[
+    d, s = _bind(df, train.select(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+                                             for c in cols])).scalar())
+    return d.select(*[c for c in df.columns if c not in cols], *[
         F.when(s[c]["hi"] == s[c]["lo"], F.lit(0.0))
         .otherwise((F.col(c) - s[c]["lo"]) / (s[c]["hi"] - s[c]["lo"])).alias(c) for c in cols])
 
@@ -127,25 +132,26 @@ def scale_robust(df: DataFrame, train: DataFrame, cols: list[str], method: str =
                                             for c in cols])).alias("kv")).select("kv.*")
     q = quantiles(long, "feature", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, method=method)
     # k rows (one per feature): folded into one struct scalar, no join with the data
-    s = q.select(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q25", "q50", "q75")))).alias("m")) \
-        .scalar()
+    d, s = _bind(df, q.select(F.map_from_entries(F.collect_list(
+        F.struct("feature", F.struct("q25", "q50", "q75")))).alias("m")).scalar())
     out = []
     for c in cols:
         iqr = s[c]["q75"] - s[c]["q25"]
         out.append(((F.col(c) - s[c]["q50"]) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)).alias(c))
-    return df.select(*[c for c in df.columns if c not in cols], *out)
+    return d.select(*[c for c in df.columns if c not in cols], *out)
 
 
 def target_scaling(df: DataFrame, train: DataFrame, cols: list[str]) -> tuple[DataFrame, Column]:
     """Standardise targets before a fit; returns (scaled frame, stats struct) so that
     ``inverse_target_scaling`` restores predictions as x * sd + mu."""
-    s = fit_standard(train, cols)
-    return df.select(*[c for c in df.columns if c not in cols],
-                     *[((F.col(c) - s[c]["mu"]) / s[c]["sd"]).alias(c) for c in cols]), s
+    d, s = _bind(df, fit_standard(train, cols))
+    return d.select(*[c for c in df.columns if c not in cols], "_st",
+                    *[((F.col(c) - s[c]["mu"]) / s[c]["sd"]).alias(c) for c in cols]), s
 
 
 def inverse_target_scaling(df: DataFrame, stats: Column, cols: list[str]) -> DataFrame:
-    return df.select(*[c for c in df.columns if c not in cols],
+    """E15 inverse: x * sd + mu (``df`` carries the bound stats column)."""
+    return df.select(*[c for c in df.columns if c not in cols and c != "_st"],
                      *[(F.col(c) * stats[c]["sd"] + stats[c]["mu"]).alias(c) for c in cols])
 
 
