@@ -58,3 +58,24 @@ def global_row_number(df: DataFrame, order_cols: list[Column], bucket: Column,
         offsets = F.broadcast(offsets)
     res = local.join(offsets, parts + ["_bkt"])
     return res.withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long")).drop("_bkt", "_lrn", "_off")
+
+
+def global_cumsum(df: DataFrame, order_col: str, bucket: Column, values: list[str],
+                  partition_by: list[str] | None = None, prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``values`` in ``order_col`` order within groups, computed
+    per order-preserving bucket in parallel plus a small per-bucket offsets table."""
+    parts = list(partition_by or [])
+    b = df.withColumn("_bkt", bucket)
+    w_local = Window.partitionBy(*parts, "_bkt").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.select("*", *[F.sum(v).over(w_local).alias(f"_l_{v}") for v in values])
+    tots = b.groupBy(*parts, "_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    w = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tots.select(*parts, "_bkt", *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}")
+                                         for v in values])
+    res = local.join(offs, parts + ["_bkt"])
+    return res.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{prefix}{v}") for v in values])
+
+
+def unit_bucket(col: str, buckets: int = 4096) -> Column:
+    """Order-preserving bucket for scores in [0, 1] (values outside are clipped)."""
+    return F.least(F.greatest(F.floor(F.col(col) * buckets), F.lit(0)), F.lit(buckets)).cast("int")
