@@ -178,3 +178,23 @@ VIEW_SQL["folds"] = (
 VIEW_DEPS["folds"] = ["txn"]
 
 V_COLS = ", ".join(V_NAMES)
+
+
+def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with their mapped estimate M1..M28, the original V1..V28 and a per-component
+    uncertainty U_i = |M_i - V_i| / 2 (one join of requests and txn on the event id)."""
+    r = requests(spark, sf_dir)
+    t = txn(spark, sf_dir).select("event_id", *V_NAMES)
+    j = r.join(t, r.request_id == t.event_id).drop("event_id")
+    m = [(F.lit(0.9) * F.col(f"V{i}") + F.lit(0.1) * F.col(f"V{i % 28 + 1}")).alias(f"M{i}") for i in range(1, 29)]
+    j = j.select("*", *m)
+    return j.select("*", *[(F.abs(F.col(f"M{i}") - F.col(f"V{i}")) / F.lit(2.0)).alias(f"U{i}") for i in range(1, 29)])
+
+
+VIEW_SQL["mapping_rows"] = (
+    "SELECT *, " + ", ".join(f"abs(M{i} - V{i}) / 2.0::DOUBLE AS U{i}" for i in range(1, 29)) + " FROM ("
+    "SELECT r.*, " + ", ".join(f"t.V{i}" for i in range(1, 29)) + ", "
+    + ", ".join(f"0.9::DOUBLE * t.V{i} + 0.1::DOUBLE * t.V{i % 28 + 1} AS M{i}" for i in range(1, 29))
+    + " FROM requests r JOIN txn t ON r.request_id = t.event_id)"
+)
+VIEW_DEPS["mapping_rows"] = ["requests", "txn"]
