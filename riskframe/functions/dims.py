@@ -122,3 +122,20 @@ def sql_case(col: str, mapping: dict, default: str = "NULL") -> str:
     whens = " ".join(f"WHEN '{k}' THEN {v!r}" if isinstance(v, str) else
                      f"WHEN '{k}' THEN {float(v)!r}::DOUBLE" for k, v in mapping.items())
     return f"(CASE {col} {whens} ELSE {default} END)"
+
+# --- fixed values: linear fallback weights for V1..V3 over the normalised indicator vector
+# [amount, merchant, location, spending, hour_sin, hour_cos, day, weekend]
+LINEAR_WEIGHTS_FIXED = [
+    [0.3, 0.2, 0.1, 0.3, 0.05, 0.05, 0.0, 0.0],
+    [0.2, 0.3, 0.2, 0.2, 0.05, 0.05, 0.0, 0.0],
+    [0.1, 0.1, 0.4, 0.3, 0.05, 0.05, 0.0, 0.0],
+]
+
+
+def linear_weights() -> list[list[float]]:
+    """28 x 8 weights: the three fixed rows, then a deterministic rule for V4..V28 (the
+    reference draws those rows from an unseeded generator, so no value can be matched)."""
+    rows = [list(r) for r in LINEAR_WEIGHTS_FIXED]
+    for i in range(4, 29):
+        rows.append([(((7 * i + 3 * j) % 11) - 5) / 50.0 for j in range(8)])
+    return rows
