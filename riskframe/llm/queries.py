@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import simhash
+from riskframe.llm import decontam, simhash
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op6_simhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op5_decontamination, op6_simhash)}
+ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
