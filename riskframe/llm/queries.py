@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import decontam, simhash
+from riskframe.llm import bpe, decontam, simhash
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +21,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op5_decontamination, op6_simhash)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op5_decontamination, op6_simhash, op10_bpe)}
 ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
