@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import bpe, decontam, simhash
+from riskframe.llm import bpe, decontam, pages, simhash, urls
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op5_decontamination, op6_simhash, op10_bpe)}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op5_decontamination, op6_simhash, op7_html, op9_urls, op10_bpe)}
 ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
