@@ -7,12 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import bpe, decontam, pages, simhash, urls
+from riskframe.llm import ann, bpe, decontam, pages, quality, simhash, urls
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample: every kept document with its log weight and key."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -33,5 +42,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op5_decontamination, op6_simhash, op7_html, op9_urls, op10_bpe)}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op5_decontamination, op6_simhash, op7_html, op9_urls, op10_bpe)}
 ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
