@@ -42,9 +42,9 @@ def test_recall_on_the_given_vectors(spark):
 def test_odd_vectors_and_large_classes(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(300)]
-    rows += [(1000 + i, [1.0, 2.0, 0, 0, 0, 0, 0, 1]) for i in range(200)]
+    rows += [(1000 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]) for i in range(200)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 8), (2003, [1.0, None] + [0.0] * 6), (2004, [float("nan")] * 8),
-             (2005, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (2010, [1.0, 2.0]), rows[0], rows[50], (2050, [2.0, 4.0, 0, 0, 0, 0, 0, 2])]
+             (2005, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (2010, [1.0, 2.0]), rows[0], rows[50], (2050, [2.0, 4.0, 0.0, 0.0, 0.0, 0.0, 0.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, leaf int")
     want = {q: s for q, s in brute(rows, 50, 5).items() if q != 2010}
     for block in (8192, 40):
