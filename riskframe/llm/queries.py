@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import ann, bpe, decontam, pages, pii, quality, simhash, urls
+from riskframe.llm import ann, bpe, decontam, pages, pii, quality, simhash, suffix, urls
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,5 +50,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op5_decontamination, op6_simhash, op7_html, op9_urls, op10_bpe)}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op9_urls, op10_bpe)}
 ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
