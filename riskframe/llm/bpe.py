@@ -9,7 +9,7 @@ go back to the chunks by position.  Only word numbers and distinct words are shu
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import shuffle_width, texts
 
 #: Characters of text in one chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 48_000_000
 #: Bytes of the tokenizer file that tasks may be sent.
 TOKENIZER_BYTES = 64 << 20
 
@@ -91,86 +91,124 @@ def piece_table(tok) -> dict[int, bytes]:
             for piece, i in tok.get_vocab(with_added_tokens=True).items()}
 
 
-def _chunks(docs: DataFrame, shared, chunk_chars: int, buckets: int, want: str) -> DataFrame:
-    """``want`` 'docs': (chunk, doc_id, at); 'words': (chunk, size, bucket, word[], at[]).
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers as bytes of seven bits, low bits first; the high bit says that more follow."""
+    size = np.ones(len(values), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += values >= 1 << bits
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for j in range(5):
+        has = size > j
+        if not has.any():
+            break
+        out[start[has] + j] = (values[has] >> 7 * j) & 127 | (size[has] > j + 1) << 7
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64)
+    start = np.concatenate(([0], np.flatnonzero(raw < 128)[:-1] + 1))
+    count = np.diff(np.concatenate((start, [len(raw)])))
+    place = np.arange(len(raw)) - np.repeat(start, count)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, start)
 
-    Both come from the same walk over a partition, so they agree on chunks and positions;
-    the chunk's word count goes with both and is compared when they meet.
-    """
-    doc_schema = pa.schema([("chunk", pa.int64()), ("size", pa.int32()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32()))])
-    word_schema = pa.schema([("chunk", pa.int64()), ("size", pa.int32()), ("bucket", pa.int32()),
-                             ("word", pa.list_(pa.string())), ("at", pa.list_(pa.int32()))])
-
-    def close(part: int, seq: int, index: dict, ids: list, at: list):
-        chunk, size = (part << 32) + seq, len(index)
-        if want == "docs":
-            for i in range(0, len(ids), 1000):
-                n = len(ids[i:i + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([size] * n, pa.int32()),
-                                                  pa.array(ids[i:i + 1000], pa.int64()), pa.array(at[i:i + 1000], pa.list_(pa.int32()))],
-                                                 schema=doc_schema)
-            return
-        by_bucket = defaultdict(lambda: ([], []))
-        digest = xxhash.xxh32_intdigest
-        for word, i in index.items():
-            words, places = by_bucket[digest(word.encode("utf-8", "replace")) % buckets]
-            words.append(word)
-            places.append(i)
-        for bucket, (words, places) in by_bucket.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size], pa.int32()), pa.array([bucket], pa.int32()),
-                                              pa.array([words], pa.list_(pa.string())), pa.array([places], pa.list_(pa.int32()))],
-                                             schema=word_schema)
 
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """New number of each word: frequent words first, so that most places take one byte."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return rank
+
+
+def _walk(docs: DataFrame, schema: str, shared, chunk_chars: int, start, add, close) -> DataFrame:
+    """Walk every partition's texts in chunks of about ``chunk_chars``; ``close`` yields a chunk's batches."""
     def run(batches):
         split = Splitter(shared.value)
-        index: dict[str, int] = {}
-        ids, at, chars, part, seq = [], [], 0, 0, 0
+        state, chars, part, seq = start(), 0, 0, 0
         for batch in batches:
-            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for doc, text, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if chars and chars + len(text) > chunk_chars:
-                    yield from close(part, seq, index, ids, at)
-                    index, ids, at, chars, seq = {}, [], [], 0, seq + 1
-                put = index.setdefault
-                places = [put(w, len(index)) for w in split(text)]
-                if want == "docs":
-                    ids.append(doc)
-                    at.append(np.array(places, np.int32))
+                    yield from close(state, (part << 32) + seq)
+                    state, chars, seq = start(), 0, seq + 1
+                add(state, doc, split(text))
                 chars += len(text)
-        if ids or index:
-            yield from close(part, seq, index, ids, at)
+        yield from close(state, (part << 32) + seq)
 
-    with_part = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    if want == "docs":
-        return with_part.mapInArrow(run, "chunk long, size int, doc_id long, at array<int>")
-    return with_part.mapInArrow(run, "chunk long, size int, bucket int, word array<string>, at array<int>")
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
 
 
-def _encode_words(words: DataFrame, shared) -> DataFrame:
-    """Per bucket: every distinct word once through the tokenizer, then its ids through the pieces."""
-    schema = pa.schema([("chunk", pa.int64()), ("size", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())),
-                        ("ids", pa.list_(pa.int32())), ("n_bytes", pa.list_(pa.int32())), ("piece", pa.binary())])
+def _places(docs: DataFrame, shared, chunk_chars: int) -> DataFrame:
+    """(chunk, size, doc_id, at): every document's word numbers, packed; ``size`` counts the chunk's words."""
+    def add(state, doc, words):
+        numbers, ids, at = state
+        ids.append(doc)
+        at.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+
+    def close(state, chunk):
+        numbers, ids, at = state
+        if not ids:
+            return
+        rank = _by_count(np.bincount(np.concatenate(at), minlength=len(numbers)))
+        for i in range(0, len(ids), 500):
+            n = len(ids[i:i + 500])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([len(numbers)] * n, pa.int32()), pa.array(ids[i:i + 500], pa.int64()),
+                                              pa.array([pack(rank[a]) for a in at[i:i + 500]], pa.binary())], ["chunk", "size", "doc_id", "at"])
+
+    return _walk(docs, "chunk long, size int, doc_id long, at binary", shared, chunk_chars, lambda: (_Numbers(), [], []), add, close)
 
+
+def _words(docs: DataFrame, shared, chunk_chars: int, buckets: int) -> DataFrame:
+    """(chunk, size, bucket, word[], at): the chunk's distinct words by hash bucket, with their numbers."""
+    def close(state, chunk):
+        if not state:
+            return
+        rank = _by_count(np.fromiter(state.values(), np.int64, len(state)))
+        by_bucket = defaultdict(lambda: ([], []))
+        digest = xxhash.xxh32_intdigest
+        for word, number in zip(state, rank.tolist()):
+            words, places = by_bucket[digest(word.encode("utf-8", "replace")) % buckets]
+            words.append(word)
+            places.append(number)
+        for bucket, (words, places) in by_bucket.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(state)], pa.int32()), pa.array([bucket], pa.int32()),
+                                              pa.array([words], pa.list_(pa.string())), pa.array([pack(np.array(places))], pa.binary())],
+                                             ["chunk", "size", "bucket", "word", "at"])
+
+    return _walk(docs, "chunk long, size int, bucket int, word array<string>, at binary", shared, chunk_chars,
+                 Counter, lambda state, doc, words: state.update(words), close)
+
+
+def _encode_words(words: DataFrame, shared) -> DataFrame:
+    """Per bucket: every distinct word once through the tokenizer; its ids go back to each chunk."""
     def run(batches):
         tok = _tokenizer(shared.value)
-        piece = piece_table(tok)
-        known: dict[str, tuple[list[int], bytes]] = {}
+        known: dict[str, list[int]] = {}
         now = None
         for batch in batches:
             for chunk, size, bucket, word, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     known, now = {}, bucket
                 new = [w for w in word if w not in known]
-                for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                    known[w] = (e.ids, b"".join(map(piece.__getitem__, e.ids)))
+                known.update((w, e.ids) for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)))
                 got = [known[w] for w in word]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), pa.array([size], pa.int32()), pa.array([at], pa.list_(pa.int32())),
-                     pa.array([[len(i) for i, _ in got]], pa.list_(pa.int32())), pa.array([[x for i, _ in got for x in i]], pa.list_(pa.int32())),
-                     pa.array([[len(b) for _, b in got]], pa.list_(pa.int32())), pa.array([b"".join(b for _, b in got)], pa.binary())],
-                    schema=schema)
+                    [pa.array([chunk], pa.int64()), pa.array([size], pa.int32()), pa.array([at], pa.binary()),
+                     pa.array([pack(np.fromiter(map(len, got), np.int64, len(got)))], pa.binary()),
+                     pa.array([pack(np.array([x for i in got for x in i], np.int64))], pa.binary())], ["chunk", "size", "at", "n", "ids"])
 
     return words.repartition("bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(run, "chunk long, size int, at array<int>, n array<int>, ids array<int>, n_bytes array<int>, piece binary")
+        .mapInArrow(run, "chunk long, size int, at binary, n binary, ids binary")
 
 
 def _ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -182,29 +220,37 @@ def _ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 class _Lists:
-    """A chunk's word list: ids and bytes of the word at each position."""
+    """A chunk's word list: the ids of the word with each number."""
 
     def __init__(self, size: int):
-        self.size, self.seen = size, 0
-        self.n, self.m = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.at_ids, self.at_bytes = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.ids, self.bytes, self.held, self.held_bytes = [], [], 0, 0
-
-    def add(self, at, n, ids, m, piece):
-        self.n[at], self.m[at] = n, m
-        self.at_ids[at] = self.held + np.cumsum(n) - n
-        self.at_bytes[at] = self.held_bytes + np.cumsum(m) - m
-        self.ids.append(ids)
-        self.bytes.append(np.frombuffer(piece, np.uint8))
+        self.size, self.seen, self.held = size, 0, 0
+        self.n, self.start, self.ids = np.zeros(size, np.int64), np.zeros(size, np.int64), []
+
+    def add(self, at, n, ids):
+        self.n[at] = n
+        self.start[at] = self.held + np.cumsum(n) - n
+        self.ids.append(ids.astype(np.int32))
         self.held += len(ids)
-        self.held_bytes += len(piece)
         self.seen += len(at)
 
     def close(self):
         if self.seen != self.size:
             raise RuntimeError("a chunk and its word list differ: the input gave other rows when it was read again")
         self.ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
-        self.bytes = np.concatenate(self.bytes) if self.bytes else np.empty(0, np.uint8)
+
+
+class _Pieces:
+    """The id-to-piece table as flat bytes, joined to ids by position."""
+
+    def __init__(self, tok):
+        table = piece_table(tok)
+        pieces = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.n = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return _ragged(self.bytes, self.start[ids], self.n[ids]).tobytes().decode("utf-8", "replace")
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -219,38 +265,30 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, chunk_chars: int = CHUNK
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     rows = texts(docs)
-    buckets = 2 * shuffle_width(spark)
-    words = _encode_words(_chunks(rows, shared, chunk_chars, buckets, "words"), shared)
-    lists = words.select("chunk", F.lit(0).alias("kind"), "size", F.lit(None).cast("long").alias("doc_id"),
-                         "at", "n", "ids", "n_bytes", "piece")
-    none = F.lit(None).cast("array<int>")
-    places = _chunks(rows, shared, chunk_chars, buckets, "docs") \
-        .select("chunk", F.lit(1).alias("kind"), "size", "doc_id", "at", none.alias("n"), none.alias("ids"),
-                none.alias("n_bytes"), F.lit(None).cast("binary").alias("piece"))
+    none = F.lit(None)
+    lists = _encode_words(_words(rows, shared, chunk_chars, 2 * shuffle_width(spark)), shared) \
+        .select("chunk", F.lit(0).alias("kind"), "size", none.cast("long").alias("doc_id"), "at", "n", "ids")
+    places = _places(rows, shared, chunk_chars) \
+        .select("chunk", F.lit(1).alias("kind"), "size", "doc_id", "at", none.cast("binary").alias("n"), none.cast("binary").alias("ids"))
 
     def run(batches):
-        now, table = None, None
+        pieces, now, table = _Pieces(_tokenizer(shared.value)), None, None
         for batch in batches:
-            chunks, kinds = batch.column("chunk").to_pylist(), batch.column("kind").to_pylist()
-            sizes, at = batch.column("size").to_pylist(), batch.column("at")
             doc, ids, text, weight = [], [], [], 0
-            for i, chunk in enumerate(chunks):
-                places = at[i].values.to_numpy(zero_copy_only=False) if at[i].is_valid else np.empty(0, np.int32)
-                if kinds[i] == 0:
-                    if chunk != now:
-                        now, table = chunk, _Lists(sizes[i])
-                    table.add(places, *(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("n", "ids", "n_bytes")),
-                              batch.column("piece")[i].as_py())
-                    continue
+            for chunk, kind, size, doc_id, at, n, word_ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
-                    now, table = chunk, _Lists(0)
-                if sizes[i] != table.size:
+                    now, table = chunk, _Lists(size if kind == 0 else 0)
+                if kind == 0:
+                    table.add(unpack(at), unpack(n), unpack(word_ids))
+                    continue
+                if size != table.size:
                     raise RuntimeError("a chunk and its word list differ: the input gave other rows when it was read again")
                 if isinstance(table.ids, list):
                     table.close()
-                doc.append(batch.column("doc_id")[i].as_py())
-                ids.append(_ragged(table.ids, table.at_ids[places], table.n[places]))
-                text.append(_ragged(table.bytes, table.at_bytes[places], table.m[places]).tobytes().decode("utf-8", "replace"))
+                number = unpack(at)
+                doc.append(doc_id)
+                ids.append(_ragged(table.ids, table.start[number], table.n[number]))
+                text.append(pieces.decode(ids[-1]))
                 weight += len(text[-1]) + 4 * len(ids[-1])
                 if weight > 16 << 20:
                     yield _out(doc, ids, text)
