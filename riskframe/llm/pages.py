@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import cut
 from riskframe.llm.urls import host_and_path
 
 #: Fixed values of HTML: elements without content, elements of raw text, elements that start a block.
@@ -195,7 +196,9 @@ def main_text(lines: list[tuple[str, bool]], other: list[str] | None) -> str:
 
 
 #: Pages of a host that are sorted in one task; larger hosts are dealt into parts by path.
-HOST_PAGES = 4096
+HOST_PAGES = 1024
+#: Large hosts (at most a row for every HOST_PAGES pages) that are broadcast; more are joined by shuffle.
+LARGE_HOSTS = 500_000
 
 
 def _lines(pages: DataFrame) -> DataFrame:
@@ -263,6 +266,9 @@ def extract(pages: DataFrame, host_pages: int = HOST_PAGES) -> DataFrame:
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     large = rows.groupBy(host_and_path("url")[0].alias("host")).count().where(F.col("count") > host_pages) \
         .select(F.col("host").alias("large"), F.ceil(F.col("count") / (host_pages // 2)).alias("parts"))
+    large = cut(large, "pages-hosts")
+    if large.count() <= LARGE_HOSTS:
+        large = F.broadcast(large)
     host, path = host_and_path("url")
     dealt = _lines(rows).withColumns({"host": host, "path": path}) \
         .join(large, F.col("host") == F.col("large"), "left") \
