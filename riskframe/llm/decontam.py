@@ -169,10 +169,20 @@ def digest(found: DataFrame) -> DataFrame:
         (F.size("hits") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns kept."""
-    found = search(docs, benchmark, size).where("size(hits) > 0").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pass_bytes: int = PASS_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark, all columns kept, in passes without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def without(shared):
+        def run(batches):
+            for batch in batches:
+                bodies = (words_of(t) for t in batch.column(at).fill_null("").cast(pa.binary()).to_pylist())
+                yield batch.filter(pa.array([not any(True for t in shared.value for _ in t.find(w)) for w in bodies], pa.bool_()))
+        return run
+    for part in _passes(benchmark, size, pass_bytes):
+        rows = [(bytes(r.window), list(r["items"])) for r in part.collect()]
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(build(rows))), docs.schema)
+    return docs
 
 
 #: DuckDB text of the query: both sides by windows of 10 words, exact join, union of ranges.

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskframe.llm.common import cut, texts
 
@@ -130,24 +131,23 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", length: float = LENGTH) -> DataFrame:
-    """``docs`` with log_weight: its mean log ratio per n-gram times ``length``; 0 without n-grams."""
+def score(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", length: float = LENGTH, out: str = "log_weight") -> DataFrame:
+    """``docs`` with ``out``, the log weight: its mean log ratio per n-gram times ``length``; 0 without n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     at = docs.columns.index(text_col)
 
     def run(batches):
         table = shared.value
         for batch in batches:
-            out = []
+            parts = []
             for group in _pieces(batch.column(at).fill_null("")):
                 doc, bucket = grams(group)
                 total = np.bincount(doc, weights=table[bucket], minlength=len(group))
-                out.append(length * total / np.maximum(np.bincount(doc, minlength=len(group)), 1))
-            weight = np.concatenate(out) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64())], [*batch.schema.names, "log_weight"])
+                parts.append(length * total / np.maximum(np.bincount(doc, minlength=len(group)), 1))
+            weight = np.concatenate(parts) if parts else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64())], [*batch.schema.names, out])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("log_weight", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def gumbel(id_col: Column, seed: int = SEED) -> Column:
@@ -201,8 +201,8 @@ def kth_largest(keys: DataFrame, k: int, steps: int = 1024) -> float:
     return lo
 
 
-def sample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, k: int | None = None) -> tuple[DataFrame, float]:
-    """Scored documents (doc_id, log_weight, key) and the key from which they are sampled.
+def sample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, k: int | None = None) -> tuple[DataFrame, float, np.ndarray]:
+    """Scored documents (doc_id, log_weight, key), the key from which they are sampled, and the log ratios.
 
     Without ``k``, the sample is as large as the number of documents at or above the
     threshold that the labels give, counted over all documents; without labels of both
@@ -213,25 +213,29 @@ def sample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, k
     """
     rows = texts(docs)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL").distinct()
-    good = marks.where("quality > 0").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(target_rows)
+    good = marks.where("quality > 0").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(target_rows)
     ratio = log_ratio(*counts(rows, good))
     scored = cut(score(rows, ratio).select("doc_id", "log_weight", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("key")), "quality")
     if k is None:
         edge = threshold(scored, marks)
         k = scored.count() if edge is None else scored.where(F.col("log_weight") >= edge).count()
     if k <= 0 or scored.isEmpty():
-        return scored, float("inf")
-    return scored, kth_largest(scored, k)
+        return scored, float("inf"), ratio
+    return scored, kth_largest(scored, k), ratio
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, log_weight, key, kept) of every row of ``docs``."""
-    scored, edge = sample(docs, labels, **options)
+    scored, edge, _ = sample(docs, labels, **options)
     return scored.withColumn("kept", F.col("key") >= F.lit(edge))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are sampled, all columns kept; a null doc_id is judged like any other."""
-    scored, edge = sample(docs, labels, **options)
-    lost = scored.where(F.col("key") < F.lit(edge)).select(F.col("doc_id").alias("lost")).distinct()
-    return docs.join(lost, docs.doc_id.eqNullSafe(F.col("lost")), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) that are sampled, all columns kept.
+
+    Rows are judged one by one as in ``classify``, in a pass without a shuffle.
+    """
+    _, edge, ratio = sample(docs, labels, **options)
+    name = "_quality_log_weight"
+    return score(docs, ratio, out=name) \
+        .where(F.col(name) + gumbel(F.col("doc_id").cast("long")) >= F.lit(edge)).drop(name)

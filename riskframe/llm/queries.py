@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import ann, bpe, decontam, pages, pii, quality, simhash, suffix, urls
+from riskframe.llm import ann, bpe, decontam, lines, pages, pii, quality, simhash, suffix, urls
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -50,5 +55,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op9_urls, op10_bpe)}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op8_lines, op9_urls, op10_bpe)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}

@@ -51,12 +51,12 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; null and empty texts have fingerprint zero."""
+    """(doc_id, hash of the text, fp long) of every row; null and empty texts have fingerprint zero."""
     def run(batches):
         for batch in batches:
             out = [_signed(fingerprint(t, shingle)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int64())], ["doc_id", "hash", "fp"])
+    return texts(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def _block_edges(blocks: int, bits: int = 64) -> list[int]:
@@ -179,6 +179,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataF
     return edges.union(_link_stage(again, max_bits, 1 << 62, "simhash-dense").select("a", "b"))
 
 
+def _groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, hash, fp, component_id) of every row."""
+    fps = cut(fingerprints(docs, shingle), "simhash-fp")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    comp = components(links(least.select("fp"), max_bits), "simhash-cc")
+    named = least.join(comp, least.fp == comp.node, "left") \
+        .select(least.fp.alias("fp"), F.coalesce("root", least.fp).alias("root"), "doc_id")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs`` (doc_id, text).
 
@@ -187,19 +198,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     rows are kept; a null doc_id never names a component unless all its ids are null.
     Other columns are ignored; an empty table gives an empty table.
     """
-    fps = cut(fingerprints(docs, shingle), "simhash-fp")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    comp = components(links(least.select("fp"), max_bits), "simhash-cc")
-    named = least.join(comp, least.fp == comp.node, "left") \
-        .select(least.fp.alias("fp"), F.coalesce("root", least.fp).alias("root"), "doc_id")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _groups(docs, shingle, max_bits) \
+        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group (null ids stay)."""
-    groups = near_duplicates(docs, shingle, max_bits)
-    losers = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) whose doc_id is the smallest of their group; null ids stay."""
+    losers = _groups(docs, shingle, max_bits).where("component_id < doc_id") \
+        .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(losers, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

@@ -52,7 +52,7 @@ def test_held_out_labels(spark):
 
 
 def test_top_k_is_exact(spark):
-    scored, edge = quality.sample(table(spark, SF, "documents"), table(spark, SF, "labels"), k=333)
+    scored, edge, _ = quality.sample(table(spark, SF, "documents"), table(spark, SF, "labels"), k=333)
     keys = sorted((r.key for r in scored.select("key").collect()), reverse=True)
     assert edge == keys[332] and sum(k >= edge for k in keys) == 333
 
