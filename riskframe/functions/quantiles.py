@@ -1,50 +1,54 @@
 """Exact, distributed quantiles (linear interpolation, as pandas / DuckDB quantile_cont).
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation
-buffer — fine for small groups, an out-of-memory for a feature column of a 100 TB table.
-Here the value order is split into equal-width buckets per group, rows are numbered in
-parallel (``global_row_number``) and only the two rows around each requested rank are
-kept.  ``method='approx'`` switches to ``percentile_approx`` (one pass, bounded memory).
+buffer: fine for small groups, out of memory for a feature column of a 100 TB table.
+Here a mergeable sketch first brackets every wanted rank between two values; the values
+below the bracket are only counted, and just the few inside it are collapsed to
+(value, count) and ranked.  Nothing but those is shuffled, however skewed or tied the
+column is.  ``method='approx'`` returns the sketch's own answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.ranking import global_row_number
+#: The sketch's rank error is at most 1 / ACCURACY; brackets are four times as wide.
+ACCURACY = 100_000
+_MARGIN = 4 / ACCURACY
 
 
 def quantiles(long_df: DataFrame, group: str, value: str, probs: dict[str, float],
-              method: str = "exact", buckets: int = 4096) -> DataFrame:
-    """-> one row per group with one column per ``probs`` entry (name -> q)."""
+              method: str = "exact", accuracy: int = ACCURACY) -> DataFrame:
+    """-> one row per group with one column per ``probs`` entry (name -> q).
+
+    Nulls are left out; a group without values has no row.  ``group`` holds names of
+    columns, so the per-group brackets are a few rows and are broadcast.
+    """
     x = long_df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if method == "approx":
         return x.groupBy(group).agg(*[
-            F.percentile_approx("_v", q, 100000).alias(n) for n, q in probs.items()])
-    stats = x.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                 F.count(F.lit(1)).alias("_n"))
-    # one stats row per group; groups are the feature names, a bounded set
-    y = x.join(F.broadcast(stats), group)
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) /
-                             F.when(width > 0, width).otherwise(F.lit(1.0))), F.lit(buckets - 1))
-    ranked = global_row_number(y, [F.col("_v")], bucket, partition_by=[group],
-                               bounded_groups=True)
-    # requested ranks (1-based): floor and ceil of 1 + (n - 1) q
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in probs.items()])
-    targets = stats.select(group, "_n", F.explode(wanted).alias("t")).select(
-        group, F.col("t.name").alias("_name"), ((F.col("_n") - 1) * F.col("t.q")).alias("_pos"))
-    targets = targets.select(group, "_name", F.col("_pos"),
-                             (F.floor("_pos") + 1).alias("_r0"), (F.ceil("_pos") + 1).alias("_r1"))
-    need = targets.select(group, F.explode(F.array("_r0", "_r1")).alias("rn")).distinct()
-    picked = ranked.select(group, "rn", "_v").join(F.broadcast(need), [group, "rn"])
-    t = targets.alias("t")
-    lo = picked.alias("a")
-    hi = picked.alias("b")
-    j = (t.join(F.broadcast(lo), (F.col(f"t.{group}") == F.col(f"a.{group}")) & (F.col("t._r0") == F.col("a.rn")))
-          .join(F.broadcast(hi), (F.col(f"t.{group}") == F.col(f"b.{group}")) & (F.col("t._r1") == F.col("b.rn"))))
-    frac = F.col("t._pos") - F.floor(F.col("t._pos"))
-    val = F.col("a._v") + frac * (F.col("b._v") - F.col("a._v"))
-    res = j.select(F.col(f"t.{group}").alias(group), F.col("t._name").alias("_name"), val.alias("_q"))
-    return res.groupBy(group).pivot("_name", list(probs)).agg(F.first("_q"))
+            F.percentile_approx("_v", q, accuracy).alias(n) for n, q in probs.items()])
+    names = list(probs)
+    edges = [e for n in names for e in (max(probs[n] - _MARGIN, 0.0), min(probs[n] + _MARGIN, 1.0))]
+    sketch = x.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                  F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    bracket = sketch.select(group, "_n", F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(float(probs[n])).alias("q"),
+                 (F.col("_lo") if edges[2 * i] <= 0 else F.col("_e")[2 * i]).alias("lo"),
+                 (F.col("_hi") if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1]).alias("hi"))
+        for i, n in enumerate(names)]).alias("_t"))
+    y = x.join(F.broadcast(bracket), group)
+    # One row per value inside a bracket, and one per group and bracket for all values below it.
+    inside = y.select(group, "_n", "_v", F.explode("_t").alias("_t")).filter(F.col("_v") <= F.col("_t.hi")) \
+        .select(group, "_n", F.col("_t.name").alias("_name"), F.col("_t.q").alias("_q"),
+                F.when(F.col("_v") >= F.col("_t.lo"), F.col("_v")).alias("_v"))
+    counts = inside.groupBy(group, "_n", "_name", "_q", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(group, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    pos = (F.col("_n") - 1) * F.col("_q")
+    ranked = counts.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_pos", pos)
+    at = lambda r: F.max(F.when((r <= F.col("_cum")) & (r > F.col("_cum") - F.col("_c")), F.col("_v")))
+    two = ranked.groupBy(group, "_name").agg(at(F.floor("_pos") + 1).alias("_a"), at(F.ceil("_pos") + 1).alias("_b"),
+                                             F.first("_pos").alias("_pos"))
+    val = F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))
+    return two.groupBy(group).pivot("_name", names).agg(F.first(val))

@@ -76,6 +76,14 @@ def global_cumsum(df: DataFrame, order_col: str, bucket: Column, values: list[st
     return res.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
+def depth_bucket(df: DataFrame, col: str, out: str = "_depth", buckets: int = 256) -> DataFrame:
+    """Add an order-preserving bucket of ``col`` with bounds from the data: approximate
+    quantiles, so that massed values spread over many buckets.  Equal values share one."""
+    bounds = df.select(F.percentile_approx(F.col(col).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).scalar()
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(col)))
+    return df.withColumn("_bounds", bounds).withColumn(out, F.coalesce(below, F.lit(0))).drop("_bounds")
+
+
 def unit_bucket(col: str, buckets: int = 4096) -> Column:
     """Order-preserving bucket for scores in [0, 1] (values outside are clipped)."""
     return F.least(F.greatest(F.floor(F.col(col) * buckets), F.lit(0)), F.lit(buckets)).cast("int")

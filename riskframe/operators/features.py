@@ -28,9 +28,10 @@ def amount_bins(df: DataFrame, amount: str = "Amount", bins: int = 10) -> DataFr
     """Equal-width, right-closed bins over the observed min..max; min -> bin 0.
     min/max come from one scalar-subquery aggregate (no join)."""
     mm = df.select(F.struct(F.min(amount).alias("lo"), F.max(amount).alias("hi"))).scalar()
-    w = (mm["hi"] - mm["lo"]) / F.lit(float(bins))
-    b = F.greatest(F.ceil((F.col(amount) - mm["lo"]) / w) - 1, F.lit(0))
-    return df.withColumn("Amount_bin", F.least(b, F.lit(bins - 1)).cast("int"))
+    lo, hi = F.col("_mm")["lo"], F.col("_mm")["hi"]
+    w = (hi - lo) / F.lit(float(bins))
+    b = F.greatest(F.ceil(F.try_divide(F.col(amount) - lo, w)) - 1, F.lit(0))
+    return df.withColumn("_mm", mm).withColumn("Amount_bin", F.least(b, F.lit(bins - 1)).cast("int")).drop("_mm")
 
 
 def interactions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

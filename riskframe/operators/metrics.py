@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import safe_div
-from riskframe.functions.ranking import global_cumsum, unit_bucket
+from riskframe.functions.ranking import global_cumsum, depth_bucket
 
 
 def _counts(df: DataFrame, y: str, pred: str, groups: list[str]) -> DataFrame:
@@ -79,12 +79,12 @@ def score_table(df: DataFrame, y: str = "y", p: str = "p", groups: list[str] | N
     g = list(groups or [])
     s = df.groupBy(*g, F.col(p).alias("score")).agg(
         F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    c = global_cumsum(s, "score", bucket if bucket is not None else unit_bucket("score"), ["pos", "neg"],
-                      partition_by=g)
+    if bucket is None:
+        s, bucket = depth_bucket(s, "score"), F.col("_depth")
+    c = global_cumsum(s, "score", bucket, ["pos", "neg"], partition_by=g).drop("_depth")
     tot = s.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                             F.count(F.lit(1)).alias("n_scores"))
-    # one totals row per group (groups = models, a bounded set)
-    return c.join(F.broadcast(tot), g)
+    return c.join(tot, g)
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p", groups: list[str] | None = None) -> DataFrame:
@@ -92,13 +92,20 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p", groups: list[str] | None
     if not groups:
         return roc_auc(df.withColumn("_g", F.lit(0)), y, p, ["_g"]).drop("_g")
     g = list(groups or [])
-    t = score_table(df, y, p, g)
-    part = F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + F.col("neg") * 0.5)
-    a = t.groupBy(*g).agg(F.sum(part).alias("_s"), F.first("P").alias("P"), F.first("N").alias("N"),
+    return _areas(score_table(df, y, p, g), g).select(*g, "roc_auc")
+
+
+def _areas(t: DataFrame, g: list[str]) -> DataFrame:
+    """ROC-AUC and average precision of a score table, in one aggregate."""
+    rank = F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + F.col("neg") * 0.5)
+    tp_ge = F.col("P") - (F.col("cum_pos") - F.col("pos"))
+    fp_ge = F.col("N") - (F.col("cum_neg") - F.col("neg"))
+    step = F.try_divide(F.col("pos"), F.col("P")) * F.try_divide(tp_ge, tp_ge + fp_ge)
+    a = t.groupBy(*g).agg(F.sum(rank).alias("_s"), F.sum(step).alias("_ap"), F.first("P").alias("P"), F.first("N").alias("N"),
                           F.first("n_scores").alias("n_scores"))
-    auc = F.when((F.col("P") == 0) | (F.col("N") == 0) | (F.col("n_scores") < 2), F.lit(0.5)) \
-        .otherwise(F.col("_s") / (F.col("P") * F.col("N")))
-    return a.select(*g, auc.alias("roc_auc"))
+    flat = (F.col("P") == 0) | (F.col("N") == 0) | (F.col("n_scores") < 2)
+    return a.select(*g, F.when(flat, F.lit(0.5)).otherwise(F.try_divide(F.col("_s"), F.col("P") * F.col("N"))).alias("roc_auc"),
+                    F.when(flat, safe_div(F.col("P"), F.col("P") + F.col("N"))).otherwise(F.col("_ap")).alias("average_precision"))
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p", groups: list[str] | None = None) -> DataFrame:
@@ -107,15 +114,7 @@ def average_precision(df: DataFrame, y: str = "y", p: str = "p", groups: list[st
     if not groups:
         return average_precision(df.withColumn("_g", F.lit(0)), y, p, ["_g"]).drop("_g")
     g = list(groups or [])
-    t = score_table(df, y, p, g)
-    tp_ge = F.col("P") - (F.col("cum_pos") - F.col("pos"))
-    fp_ge = F.col("N") - (F.col("cum_neg") - F.col("neg"))
-    term = F.col("pos") / F.col("P") * (tp_ge / (tp_ge + fp_ge))
-    a = t.groupBy(*g).agg(F.sum(term).alias("_ap"), F.first("P").alias("P"), F.first("N").alias("N"),
-                          F.first("n_scores").alias("n_scores"))
-    ap = F.when((F.col("P") == 0) | (F.col("N") == 0) | (F.col("n_scores") < 2),
-                safe_div(F.col("P"), F.col("P") + F.col("N"))).otherwise(F.col("_ap"))
-    return a.select(*g, ap.alias("average_precision"))
+    return _areas(score_table(df, y, p, g), g).select(*g, "average_precision")
 
 
 def roc_curve(df: DataFrame, y: str = "y", p: str = "p", groups: list[str] | None = None) -> DataFrame:
@@ -150,43 +149,38 @@ def evaluation_record(df: DataFrame, y: str = "y", pred: str = "pred", p: str =
     c = c.withColumn("n", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")) \
         .withColumn("fraud_rate", safe_div(F.col("tp") + F.col("fn"), F.col("n"))) \
         .withColumn("predicted_rate", safe_div(F.col("tp") + F.col("fp"), F.col("n")))
-    return c.join(roc_auc(df, y, p, g), g).join(average_precision(df, y, p, g), g)
+    return c.join(_areas(score_table(df, y, p, g), g), g)
 
 
 def cv_summary(scored_folds: DataFrame, y: str = "y", pred: str = "pred", p: str = "p",
-               model: str = "model", fold: str = "fold") -> DataFrame:
+               model: str = "model", fold: str = "fold", k: int = 5) -> DataFrame:
     """Per model, mean and population std of each test-fold metric and mean of the
-    train-fold metric.  Train metrics come from complements (model totals minus the fold),
-    so the scored table is aggregated once and never re-joined per fold."""
-    per = scored_folds.groupBy(model, fold, F.col(p).alias("score")).agg(
-        F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"),
-        F.sum(((F.col(y) == 1) & (F.col(pred) == 1)).cast("long")).alias("tp"),
-        F.sum(((F.col(y) != 1) & (F.col(pred) == 1)).cast("long")).alias("fp"))
-    folds = per.select(model, fold).distinct()
-    tot = per.groupBy(model, "score").agg(*[F.sum(c).alias(f"t_{c}") for c in ("pos", "neg", "tp", "fp")])
-    grid = tot.join(folds, model)                   # every (model, fold, score) of the model
-    both = grid.join(per, [model, fold, "score"], "left").na.fill(0, ["pos", "neg", "tp", "fp"])
-    test = both.select(model, fold, "score", F.lit("test").alias("part"), "pos", "neg", "tp", "fp")
-    train = both.select(model, fold, "score", F.lit("train").alias("part"),
-                        *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in ("pos", "neg", "tp", "fp")])
-    rows = test.unionByName(train)
-    keys = [model, fold, "part"]
-    c = rows.groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-                                (F.sum("pos") - F.sum("tp")).alias("fn"),
-                                (F.sum("neg") - F.sum("fp")).alias("tn"))
-    m = point_from_counts(c)
-    st = global_cumsum(rows.filter((F.col("pos") + F.col("neg")) > 0), "score", unit_bucket("score"),
-                       ["pos", "neg"], partition_by=keys)
-    auc = st.groupBy(*keys).agg(F.sum(F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + F.col("neg") * 0.5)).alias("_s"),
-                                F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("ns"))
-    auc = auc.select(*keys, F.when((F.col("P") == 0) | (F.col("N") == 0) | (F.col("ns") < 2), F.lit(0.5))
-                     .otherwise(F.col("_s") / (F.col("P") * F.col("N"))).alias("roc_auc"))
-    m = m.join(auc, keys)
-    long = m.select(model, "part", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"))
-        for k in ("accuracy", "precision", "recall", "f1", "roc_auc")])).alias("kv")).select(model, "part", "kv.*")
-    te, tr = F.col("part") == "test", F.col("part") == "train"
+    train-fold metric, over folds 0 .. k - 1.
+
+    One row per (model, score) carries the counts of every fold; one set of running sums
+    serves all folds, and a fold's training counts are the total less the fold.
+    """
+    pos, neg, hit = F.col(y) == 1, F.col(y) != 1, F.col(pred) == 1
+    kinds = {"pos": pos, "neg": neg, "tp": pos & hit, "fp": neg & hit}
+    per = scored_folds.groupBy(model, F.col(p).alias("score")).agg(*[
+        F.sum(((F.col(fold) == f) & c).cast("long")).alias(f"{n}{f}") for f in range(k) for n, c in kinds.items()])
+    run = global_cumsum(depth_bucket(per, "score"), "score", F.col("_depth"), [f"neg{f}" for f in range(k)], partition_by=[model])
+    total = lambda n: sum((F.col(f"{n}{f}") for f in range(k)), F.lit(0))
+
+    def part(f: int, test: bool):
+        c = lambda n: F.col(f"{n}{f}") if test else total(n) - F.col(f"{n}{f}")
+        below = c("cum_neg") - c("neg")
+        return F.struct(*[F.sum(c(n)).alias(n) for n in kinds], F.sum(c("pos") * (below + c("neg") * 0.5)).alias("s"),
+                        F.sum((c("pos") + c("neg") > 0).cast("long")).alias("scores"), F.lit(test).alias("test"))
+    parts = run.groupBy(model).agg(F.array(*[part(f, t) for f in range(k) for t in (True, False)]).alias("parts"))
+    c = parts.select(model, F.explode("parts").alias("x")).select(model, "x.*").where("pos + neg > 0")
+    m = point_from_counts(c.withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("neg") - F.col("fp")))
+    m = m.withColumn("roc_auc", F.when((F.col("pos") == 0) | (F.col("neg") == 0) | (F.col("scores") < 2), F.lit(0.5))
+                     .otherwise(F.try_divide(F.col("s"), F.col("pos") * F.col("neg"))))
+    long = m.select(model, "test", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
+        for n in ("accuracy", "precision", "recall", "f1", "roc_auc")])).alias("kv")).select(model, "test", "kv.*")
     return long.groupBy(model, "metric").agg(
-        F.avg(F.when(te, F.col("value"))).alias("test_mean"),
-        F.stddev_pop(F.when(te, F.col("value"))).alias("test_std"),
-        F.avg(F.when(tr, F.col("value"))).alias("train_mean"))
+        F.avg(F.when(F.col("test"), F.col("value"))).alias("test_mean"),
+        F.stddev_pop(F.when(F.col("test"), F.col("value"))).alias("test_std"),
+        F.avg(F.when(~F.col("test"), F.col("value"))).alias("train_mean"))

@@ -57,23 +57,26 @@ def feature_distributions(df: DataFrame, features: list[str], label: str = "Clas
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every feature pair, long form (f_i, f_j, corr), full
-    matrix incl. diagonal.
+    matrix incl. diagonal.  Pairwise: a row with a null in a third column still counts."""
+    names = F.array(*[F.lit(c) for c in features])
+    return pairwise_correlations(df, features).select(
+        names[F.col("i")].alias("f_i"), names[F.col("j")].alias("f_j"),
+        F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("r")).alias("corr"))
 
-    Pass 1: feature means (one scalar-subquery aggregate).  Pass 2: Spark ML's Gramian of
-    the centred vectors (``Correlation.corr``, a JVM tree-aggregate; centring first keeps
-    it stable).  Only the k x k result (k = number of features) reaches the driver.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
 
-    spark = df.sparkSession
-    means = df.select(F.struct(*[F.avg(F.col(c).cast("double")).alias(c) for c in features])).scalar()
-    x = df.select(*[(F.col(c).cast("double") - means[c]).alias(c) for c in features]).na.drop()
-    vec = VectorAssembler(inputCols=features, outputCol="_f").transform(x).select("_f")
-    m = Correlation.corr(vec, "_f").head()[0].toArray()
-    rows = [(a, b, float(m[i][j]) if i != j else 1.0)
-            for i, a in enumerate(features) for j, b in enumerate(features)]
-    return spark.createDataFrame(rows, "f_i string, f_j string, corr double")
+def pairwise_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, r) for all ordered pairs of columns by number; each pair over the rows where both are present.
+
+    One lazy aggregate: a correlation a pair (``corr`` updates centred sums, so no shift
+    is needed), whose single row is unfolded into both orders and the diagonal.
+    """
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    entry = lambda i, j, r: F.struct(i.alias("i"), j.alias("j"), r.alias("r"))
+    one = x.agg(F.array(*[entry(F.lit(i), F.lit(j), F.corr(f"x{i}", f"x{j}")) for i, j in pairs]).alias("c"))
+    turned = F.transform("c", lambda e: entry(e["j"], e["i"], e["r"]))
+    diagonal = F.array(*[entry(F.lit(i), F.lit(i), F.lit(1.0)) for i in range(len(cols))])
+    return one.select(F.explode(F.concat("c", turned, diagonal)).alias("e")).select("e.*")
 
 
 def baseline_stats(df: DataFrame, features: list[str], quantile_method: str = "exact") -> DataFrame:
@@ -99,9 +102,9 @@ def prediction_distribution(scored: DataFrame, pred: str = "pred", p: str = "p")
                          F.sum((conf < 0.6).cast("long")).alias("low_conf"),
                          F.sum((conf > 0.9).cast("long")).alias("high_conf"))
     per = scored.groupBy(pred).agg(F.count(F.lit(1)).alias("class_count"))
-    # overall is one row: attach it by scalar subqueries, no cross join
-    o = overall.select(F.struct(*overall.columns)).scalar()
-    return per.select(pred, "class_count", (F.col("class_count") * 100.0 / o["n"]).alias("class_pct"),
+    # overall is one row: bound once as a scalar column, no cross join
+    o = F.col("_o")
+    return per.withColumn("_o", overall.select(F.struct(*overall.columns)).scalar()).select(pred, "class_count", (F.col("class_count") * 100.0 / o["n"]).alias("class_pct"),
                       *[o[c].alias(c) for c in ["pred_mean", "pred_std", "conf_mean", "conf_std",
                                                 "low_conf", "high_conf"]])
 

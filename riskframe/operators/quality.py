@@ -6,28 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import clamp, safe_div
-
-
-def _corr_matrix(df: DataFrame, cols: list[str]):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    means = df.select(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    x = df.select(*[(F.col(c) - means[c]).alias(c) for c in cols])
-    v = VectorAssembler(inputCols=cols, outputCol="_f").transform(x).select("_f")
-    return Correlation.corr(v, "_f").head()[0].toArray()
+from riskframe.operators.profile import pairwise_correlations
 
 
 def correlation_preservation(orig: DataFrame, mapped: DataFrame, ocols: list[str], mcols: list[str]) -> DataFrame:
     """Q01: Pearson r between the upper triangles of the two k x k correlation matrices
-    (undefined entries -> 0), as (r + 1) / 2 clamped.  Each matrix is one Spark ML Gramian
-    pass; only the k(k-1)/2 entries (k = components) reach the driver."""
-    import math
-    a, b = _corr_matrix(orig, ocols), _corr_matrix(mapped, mcols)
-    k = len(ocols)
-    rows = [(float(0.0 if math.isnan(a[i][j]) else a[i][j]), float(0.0 if math.isnan(b[i][j]) else b[i][j]))
-            for i in range(k) for j in range(i + 1, k)]
-    t = orig.sparkSession.createDataFrame(rows, "a double, b double")
-    return t.agg(F.corr("a", "b").alias("r")).select(
+    (undefined entries -> 0), as (r + 1) / 2 clamped.  Each matrix is one lazy aggregate
+    over the pairs of columns; two tables of k * k rows meet."""
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+    a = pairwise_correlations(orig, ocols).where("i < j").select("i", "j", zero("r").alias("a"))
+    b = pairwise_correlations(mapped, mcols).where("i < j").select("i", "j", zero("r").alias("b"))
+    return a.join(b, ["i", "j"]).agg(F.corr("a", "b").alias("r")).select(
         clamp((F.coalesce(F.col("r"), F.lit(0.0)) + 1) / 2).alias("correlation_preservation"))
 
 

@@ -23,16 +23,19 @@ def risk_score(df: DataFrame, p: str = "p") -> DataFrame:
 
 
 # ---- R02 conservative fallback --------------------------------------------------------------
-RISK_FACTOR = (f"least(1.0, {case_map('location_risk', LOCATION_RISK_FACTOR, 'CAST(0.0 AS DOUBLE)')} + "
-               f"{case_map('spending_pattern', SPENDING_RISK_FACTOR, 'CAST(0.0 AS DOUBLE)')} + "
+RISK_FACTOR = (f"least(1.0, {case_map('location_risk', LOCATION_RISK_FACTOR, 'CAST(0.5 AS DOUBLE)')} + "
+               f"{case_map('spending_pattern', SPENDING_RISK_FACTOR, 'CAST(0.3 AS DOUBLE)')} + "
                "(CASE WHEN hour_of_day <= 5 OR hour_of_day >= 23 THEN 0.3 ELSE 0.0 END))")
 
 
+# Fixed value: the merchants with a base vector of their own; all others start from zeros.
+BASE_MERCHANTS = ["grocery", "restaurant", "gas", "online", "atm"]
+
+
 def conservative_base(txn: DataFrame) -> DataFrame:
-    """Stored per-merchant base vectors: mean V of the transactions in each amount-derived
-    merchant category (E06); at most 4 rows."""
-    from riskframe.operators.features import merchant_by_amount
-    return txn.groupBy(merchant_by_amount(F.col("Amount")).alias("merchant_category")) \
+    """Stored per-merchant base vectors: mean V of the transactions of each merchant (a
+    column of ``txn``) that has a vector of its own; one row each."""
+    return txn.where(F.col("merchant_category").isin(BASE_MERCHANTS)).groupBy("merchant_category") \
         .agg(*[F.avg(v).alias(f"B{v[1:]}") for v in V_NAMES])
 
 
@@ -47,7 +50,7 @@ def conservative_fallback(df: DataFrame, base: DataFrame) -> DataFrame:
                     F.least(0.1 + F.col("risk_factor") * 0.3, F.lit(0.5)).alias("fraud_probability"),
                     F.greatest(F.lit(0.5), 0.9 - F.col("risk_factor") * 0.3).alias("normal_probability"),
                     F.least(10 + F.col("risk_factor") * 30, F.lit(50.0)).alias("risk_score"),
-                    F.lit(0.6).alias("mapping_confidence"),
+                    F.lit(0.6).alias("mapping_confidence"), F.lit(0).alias("prediction"), F.lit("acceptable").alias("confidence_level"),
                     *[(F.coalesce(F.col(f"B{i}"), F.lit(0.0)) * scale).alias(f"V{i}") for i in range(1, 29)])
 
 
@@ -84,7 +87,13 @@ def average_fallback(df: DataFrame, txn: DataFrame, noise_seed: int | None = Non
 # ---- R05 fallback chain -----------------------------------------------------------------------
 ERROR_CATEGORY = ("(CASE WHEN transaction_amount <= 0 THEN 'feature_mapping' "
                   "WHEN transaction_amount > 50000 THEN 'prediction' "
-                  "WHEN NOT (hour_of_day BETWEEN 0 AND 23) THEN 'validation' END)")
+                  "WHEN NOT (hour_of_day BETWEEN 0 AND 23) THEN 'input_validation' END)")
+
+# How severe an error of a category is; others are medium.
+SEVERITY = {"prediction": "high", "model_loading": "critical", "input_validation": "low"}
+# Fixed value: all error categories.
+ERROR_CATEGORIES = ["input_validation", "model_loading", "feature_mapping", "prediction", "performance", "system", "network",
+                    "data_corruption"]
 
 # (name, priority, categories handled, success condition, mapping confidence)
 DEFAULT_STRATEGIES = [

@@ -215,11 +215,10 @@ def drift_zscore(spark, sf):
     return D.drift_zscore(cur, base, FEATURES).select(rnd("drift_score").alias("drift_score"))
 
 
-@query("drift_cv", f"""WITH c AS ({_stats_sql(f'"Time" >= {_SPLIT}')})
+@query("drift_cv", f"""WITH c AS ({_stats_sql('true')})
 SELECT round(coalesce(least(avg(CASE WHEN mean <> 0 THEN std / abs(mean) END) / 2, 1.0), 0.0), 6) AS drift_score FROM c""")
 def drift_cv(spark, sf):
-    _b, cur = _periods(spark, sf)
-    return D.drift_cv(cur, FEATURES).select(rnd("drift_score").alias("drift_score"))
+    return D.drift_cv(views.txn(spark, sf).select(*FEATURES), FEATURES).select(rnd("drift_score").alias("drift_score"))
 
 
 @query("anomaly_zscore", "WITH b AS (SELECT " + ", ".join(

@@ -231,16 +231,26 @@ def experiment_list(spark, sf):
 _LATEST_M = "lm AS (SELECT experiment_id, metric, arg_max(value, step) AS value FROM experiment_metrics GROUP BY ALL)"
 
 
-@query("experiment_matrix", f"""WITH {_LATEST_M}
-SELECT e.experiment_id, round(e.param_k, 9) AS param_k, round(a.value, 9) AS auc, round(l.value, 9) AS loss FROM experiments e
-LEFT JOIN lm a ON a.experiment_id = e.experiment_id AND a.metric = 'auc' LEFT JOIN lm l ON l.experiment_id = e.experiment_id AND l.metric = 'loss'""")
-def experiment_matrix(spark, sf):
-    """Parameter and metric names x experiments, null where absent (pivot of the latest
-    metric values; the metric names are a closed list)."""
-    m = MV.experiment_metrics(spark, sf).groupBy("experiment_id").pivot("metric", ["auc", "loss"]).agg(F.max_by("value", "step"))
+_NAMED_SQL = f"""{_LATEST_M}, named AS (SELECT experiment_id, 'param' AS kind, substr(name, 7) AS name, value
+  FROM (UNPIVOT (SELECT * EXCLUDE (status, created_at) FROM experiments) ON COLUMNS(* EXCLUDE (experiment_id)) INTO NAME name VALUE value)
+  UNION ALL SELECT experiment_id, 'metric', metric, value FROM lm)"""
+
+
+def _named_values(spark, sf):
+    """(experiment_id, kind, name, value): every parameter column and the latest value of every metric."""
     e = MV.experiments(spark, sf)
-    j = e.join(m, "experiment_id", "left")
-    return j.select("experiment_id", rnd("param_k", 9).alias("param_k"), rnd("auc", 9).alias("auc"), rnd("loss", 9).alias("loss"))
+    params = [c for c in e.columns if c.startswith("param_")]
+    long = e.unpivot(["experiment_id"], params, "name", "value").select(
+        "experiment_id", F.lit("param").alias("kind"), F.substring("name", 7, 1000).alias("name"), "value")
+    m = MV.experiment_metrics(spark, sf).groupBy("experiment_id", F.col("metric").alias("name")).agg(F.max_by("value", "step").alias("value"))
+    return long.where("value IS NOT NULL").unionByName(m.withColumn("kind", F.lit("metric")))
+
+
+@query("experiment_matrix", f"""WITH {_NAMED_SQL} SELECT experiment_id, kind, name, round(value, 9) AS value FROM named""")
+def experiment_matrix(spark, sf):
+    """Parameters and metrics x experiments in long form; an absent row is an absent value,
+    and no name is left out."""
+    return _named_values(spark, sf).select("experiment_id", "kind", "name", rnd("value", 9).alias("value"))
 
 
 @query("best_per_metric", f"""WITH {_LATEST_M}
@@ -255,8 +265,7 @@ def best_per_metric(spark, sf):
     return x.groupBy("metric").agg(F.min_by("experiment_id", F.struct(-F.col("_k"), F.col("experiment_id"))).alias("best_experiment"))
 
 
-@query("feature_union", "SELECT DISTINCT metric AS name FROM experiment_metrics UNION SELECT 'param_k'")
+@query("feature_union", f"WITH {_NAMED_SQL} SELECT DISTINCT kind, name FROM named")
 def feature_union(spark, sf):
     """Union of names over experiments (parameters and metrics), distinct."""
-    m = MV.experiment_metrics(spark, sf).select(F.col("metric").alias("name"))
-    return m.union(spark.createDataFrame([("param_k",)], "name string")).distinct()
+    return _named_values(spark, sf).select("kind", "name").distinct()

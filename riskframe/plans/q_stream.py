@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import rnd
 from riskframe.operators import abtest as AB
+from riskframe.operators import rules as R
 from riskframe.plans.catalog import query
 from riskframe.sources import views
 from riskframe.sources.tables import table
@@ -28,9 +29,8 @@ SELECT arm, n, round(success_rate, 9) AS success_rate,
   CASE WHEN (SELECT count(*) FROM g) = 2 AND (SELECT min(n) FROM g) >= 100
        THEN (SELECT arm FROM g ORDER BY success_rate DESC, arm DESC LIMIT 1) END AS winner FROM g""")
 def ab_results(spark, sf):
-    ev = table(spark, sf, "events").select("event_id", "user_id")
-    s = views.scored(spark, sf).select("event_id", (F.col("pred") == F.col("y")).alias("ok"))
-    a = AB.ab_assignment(ev, "user_id").join(s, "event_id")
+    s = views.request_scores(spark, sf).select("user_id", (F.col("pred") == F.col("Class")).alias("ok"))
+    a = AB.ab_assignment(s, "user_id")
     r = AB.ab_results(a, "ok", 100)
     return r.select("arm", "n", rnd("success_rate", 9).alias("success_rate"), "winner")
 
@@ -51,9 +51,11 @@ _REQ = """SELECT event_id AS request_id, ts, value * power(1 + event_id % 7, 3)
 o AS (SELECT ts, CASE WHEN amount > 0 THEN ['random_forest', 'xgboost', 'ensemble'][event_id % 3 + 1] ELSE 'unknown' END AS mapper_type,
   amount <= 0 AS is_error, CASE WHEN amount > 0 THEN value END AS latency_ms, CASE WHEN amount > 0 THEN 1 - p / 2 END AS confidence FROM r)
 SELECT date_trunc('hour', ts) AS window_start, mapper_type, count(*) AS n, round(avg(CASE WHEN is_error THEN 1.0 ELSE 0.0 END), 9) AS error_rate,
-  round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(confidence), 9) AS mean_confidence FROM o GROUP BY ALL""")
+  round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(confidence), 9) AS mean_confidence FROM o
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM o) - INTERVAL 10 MINUTE GROUP BY ALL""")
 def stream_metrics(spark, sf):
-    out = S.run_to_table(S.stream_metrics(S.event_stream(spark, sf)), mode="complete")
+    """ST04 in append mode: the windows that the watermark (ten minutes behind the newest event) has closed."""
+    out = S.run_to_table(S.stream_metrics(S.event_stream(spark, sf)), mode="append")
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "mapper_type", "n",
                       rnd("error_rate", 9).alias("error_rate"), rnd("mean_latency_ms", 6).alias("mean_latency_ms"),
                       rnd("mean_confidence", 9).alias("mean_confidence"))
@@ -75,8 +77,8 @@ def stream_ab(spark, sf):
     return S.run_to_table(S.stream_ab(S.event_stream(spark, sf)), mode="append")
 
 
-@query("stream_validate")
+@query("stream_validate", f"SELECT request_id, {R.ALL_ERRORS} AS errors, ({R.ALL_ERRORS}) IS NOT NULL AS quarantined FROM requests")
 def stream_validate(spark, sf):
-    """ST01 (rows-only): validation codes on the event stream."""
+    """ST01: validation codes on the event stream, equal to the batch rules."""
     out = S.run_to_table(S.stream_validate(S.event_stream(spark, sf)), mode="append")
-    return out.select("request_id", "errors")
+    return out.select("request_id", "errors", "quarantined")

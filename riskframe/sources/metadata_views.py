@@ -19,10 +19,7 @@ MAPPERS = ["random_forest", "xgboost", "ensemble"]
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mapping operation per request: status error when amount <= 0, otherwise a result
     (latency = event value, confidence = 1 - p/2, prediction, probability)."""
-    r = views.requests(spark, sf_dir)
-    s = views.scored(spark, sf_dir).select("event_id", "p", "pred")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("_eid"), "value")
-    j = r.join(s, r.request_id == s.event_id).join(e, r.request_id == F.col("_eid"))
+    j = views.request_scores(spark, sf_dir)
     err = F.col("transaction_amount") <= 0
     return j.select(
         F.md5(F.col("request_id").cast("string")).alias("audit_id"), "request_id", "ts",
@@ -149,7 +146,7 @@ def experiment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stepped metric log: experiment per user, step = day number, two metrics per step."""
     ev = table(spark, sf_dir, "events")
     d = ev.groupBy(F.concat(F.lit("exp_"), F.col("user_id").cast("string")).alias("experiment_id"),
-                   F.dayofmonth("ts").alias("step")).agg(F.avg("value").alias("auc_raw"),
+                   F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("step")).agg(F.avg("value").alias("auc_raw"),
                                                          F.avg((F.col("event_type") == "error").cast("double")).alias("loss"))
     return d.select("experiment_id", "step", F.explode(F.array(
         F.struct(F.lit("auc").alias("metric"), (F.col("auc_raw") / 500).alias("value")),
@@ -159,11 +156,11 @@ def experiment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEW_SQL["experiment_metrics"] = """
 SELECT experiment_id, step, 'auc' AS metric, auc_raw / 500 AS value FROM (
-  SELECT 'exp_' || CAST(user_id AS VARCHAR) AS experiment_id, CAST(day(ts) AS INTEGER) AS step, avg(value) AS auc_raw,
+  SELECT 'exp_' || CAST(user_id AS VARCHAR) AS experiment_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS step, avg(value) AS auc_raw,
          avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS loss FROM events GROUP BY ALL)
 UNION ALL
 SELECT experiment_id, step, 'loss', loss FROM (
-  SELECT 'exp_' || CAST(user_id AS VARCHAR) AS experiment_id, CAST(day(ts) AS INTEGER) AS step, avg(value) AS auc_raw,
+  SELECT 'exp_' || CAST(user_id AS VARCHAR) AS experiment_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS step, avg(value) AS auc_raw,
          avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS loss FROM events GROUP BY ALL)"""
 VIEW_DEPS["experiment_metrics"] = []
 

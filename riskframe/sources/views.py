@@ -40,31 +40,37 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     left to AQE: it becomes a broadcast only when its measured size is under the
     broadcast threshold, else a shuffled hash/sort-merge join on the modulus key.
     """
-    prepare(spark)
-    ev = table(spark, sf_dir, "events")
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = emb.select(F.count(F.lit(1))).scalar()
-    t0 = ev.select(F.min(epoch_micros(F.col("ts")))).scalar()
-    joined = (ev.select("event_id", "ts", "user_id", "event_type", "value",
-                        (F.col("event_id") % n).alias("_vk"))
-              .join(emb, F.col("_vk") == F.col("vec_id")))
-    return joined.select(
+    t0 = table(spark, sf_dir, "events").select(F.min(epoch_micros(F.col("ts")))).scalar()
+    return _with_embedding(spark, sf_dir).select(
         "event_id", "ts", "user_id",
         ((epoch_micros(F.col("ts")) - t0) / F.lit(1e6)).alias("Time"),
         *[_v_expr(i) for i in range(1, 29)],
         (F.col("value") * F.pow(1 + F.col("event_id") % 7, 3)).alias("Amount"),
-        F.when((F.col("event_type") == "error") & (F.col("value") >= 100), 1).otherwise(0)
-        .cast("int").alias("Class"),
+        _class(),
     )
 
 
+def _with_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows with the embedding at ``event_id % n``."""
+    prepare(spark)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = emb.select(F.count(F.lit(1))).scalar()
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value",
+                                               (F.col("event_id") % n).alias("_vk"))
+    return ev.join(emb, F.col("_vk") == F.col("vec_id"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed mapping requests derived from events (edge cases at every scale)."""
     prepare(spark)
-    ev = table(spark, sf_dir, "events")
+    return table(spark, sf_dir, "events").select(*request_columns())
+
+
+def request_columns() -> list[Column]:
+    """The request fields of an event row, for batch and stream alike."""
     eid = F.col("event_id")
     dow = F.weekday("ts")                                   # Monday = 0
-    return ev.select(
+    return [
         eid.alias("request_id"), "ts", "user_id",
         (F.col("value") * F.pow(1 + eid % 7, 3) - 5).alias("transaction_amount"),
         enum_at(eid % 10, MERCHANTS).alias("merchant_category"),
@@ -73,7 +79,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((dow >= 5) != (eid % 50 == 0)).alias("is_weekend"),
         enum_at(F.col("user_id") % 4, LOCATIONS).alias("location_risk"),
         enum_at(F.floor(eid / 10) % 4, SPENDING).alias("spending_pattern"),
-    )
+    ]
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +90,30 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i in range(1, 29)])
 
 
+def _class() -> Column:
+    return F.when((F.col("event_type") == "error") & (F.col("value") >= 100), 1).otherwise(0).cast("int").alias("Class")
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, Class straight from events: no other table is needed for them."""
+    prepare(spark)
+    return table(spark, sf_dir, "events").select("event_id", _class())
+
+
+def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with Class, value, p and pred of the same event: one scan of events."""
+    prepare(spark)
+    return table(spark, sf_dir, "events").select(*request_columns(), _class(), "value", "event_id") \
+        .withColumn("p", _score(7919)).withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("event_id")
+
+
 def _score(mult: int) -> Column:
     return ((F.col("event_id") * mult) % 1000) / F.lit(2000.0) + F.lit(0.3) * F.col("Class")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, y, p, pred — a score with ties on purpose."""
-    t = txn(spark, sf_dir).select("event_id", "Class")
-    return t.select("event_id", F.col("Class").alias("y"), _score(7919).alias("p")) \
+    return _classed(spark, sf_dir).select("event_id", F.col("Class").alias("y"), _score(7919).alias("p")) \
         .withColumn("pred", (F.col("p") >= 0.5).cast("int"))
 
 
@@ -100,7 +122,7 @@ MODEL_MULTIPLIERS = [("m1", 7919), ("m2", 104729), ("m3", 1299709)]
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, model, y, p, pred for three stand-in models (one scan, exploded)."""
-    t = txn(spark, sf_dir).select("event_id", "Class")
+    t = _classed(spark, sf_dir)
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).cast("long").alias("mult"))
                        for m, k in MODEL_MULTIPLIERS])
     x = t.select("event_id", "Class", F.explode(models).alias("m"))
@@ -112,7 +134,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folds(spark: SparkSession, sf_dir: str, k: int = 5, seed: int = 42) -> DataFrame:
     """event_id, fold, Class: stratified k folds in md5(seed_id) order."""
     from riskframe.operators.sampling import stratified_kfold
-    return stratified_kfold(txn(spark, sf_dir).select("event_id", "Class"), "Class",
+    return stratified_kfold(_classed(spark, sf_dir), "Class",
                             "event_id", k=k, seed=seed)
 
 
@@ -182,10 +204,8 @@ V_COLS = ", ".join(V_NAMES)
 
 def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with their mapped estimate M1..M28, the original V1..V28 and a per-component
-    uncertainty U_i = |M_i - V_i| / 2 (one join of requests and txn on the event id)."""
-    r = requests(spark, sf_dir)
-    t = txn(spark, sf_dir).select("event_id", *V_NAMES)
-    j = r.join(t, r.request_id == t.event_id).drop("event_id")
+    uncertainty U_i = |M_i - V_i| / 2, all from one event row and its embedding."""
+    j = _with_embedding(spark, sf_dir).select(*request_columns(), *[_v_expr(i) for i in range(1, 29)])
     m = [(F.lit(0.9) * F.col(f"V{i}") + F.lit(0.1) * F.col(f"V{i % 28 + 1}")).alias(f"M{i}") for i in range(1, 29)]
     j = j.select("*", *m)
     return j.select("*", *[(F.abs(F.col(f"M{i}") - F.col(f"V{i}")) / F.lit(2.0)).alias(f"U{i}") for i in range(1, 29)])

@@ -3,8 +3,8 @@
 Each stream reads the events files with a fixed schema, derives the request / score
 columns row by row (no join needed), and runs the same expressions as the batch
 operators.  Checkpoints live under the cluster's ``spark.checkpoint.dir``.  The catalog
-entries run them with ``availableNow`` into a memory sink and return the sink as a batch
-frame, which equals the batch query over the same rows.
+entries run them with ``availableNow`` into files in that shared folder and return those as
+a batch frame.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ MAPPERS = ["random_forest", "xgboost", "ensemble"]
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     prepare(spark)
-    # the file source watches a directory; the glob keeps only the events files
-    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger) \
-        .option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/"))
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    # the file source watches folders: a table that is a single file is picked out of its folder
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
 
 
 def request_columns(ev: DataFrame) -> DataFrame:
@@ -76,29 +79,41 @@ def stream_ab(events: DataFrame, split: float = 0.5) -> DataFrame:
 
 
 def stream_validate(events: DataFrame) -> DataFrame:
-    """ST01: validation codes on arriving requests (quarantine split done in the sink)."""
+    """ST01: validation codes on arriving requests, built by the batch view's own columns;
+    ``quarantined`` marks the requests that have any."""
     from riskframe.operators.rules import ALL_ERRORS
-    r = request_columns(events).withColumn("hour_of_day", F.hour("ts")).withColumn("day_of_week", F.weekday("ts")) \
-        .withColumn("is_weekend", F.weekday("ts") >= 5)
-    return r.withColumn("errors", F.expr(ALL_ERRORS))
+    from riskframe.sources.views import request_columns as batch_columns
+    return events.select(*batch_columns()).withColumn("errors", F.expr(ALL_ERRORS)) \
+        .withColumn("quarantined", F.col("errors").isNotNull())
 
 
 def run_to_table(df: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
-    """Drive a streaming frame to completion (availableNow) into a memory sink; return the
-    sink as a batch DataFrame.  The checkpoint goes under spark.checkpoint.dir."""
+    """Drive a streaming frame to completion (availableNow) into files under
+    spark.checkpoint.dir and read them back; no row passes the driver.
+
+    Append mode uses the file sink.  In complete mode, for states of bounded size, every
+    batch replaces the whole result in a folder of its own and the last one is read.
+    """
     spark = df.sparkSession
-    name = name or f"rf_stream_{uuid.uuid4().hex[:10]}"
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode) \
-        .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name or uuid.uuid4().hex}"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{root}/out")
+    seen: list[int] = []
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{batch_id}")
+        seen.append(batch_id)
+    writer.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/out/{max(seen)}") if seen else spark.createDataFrame([], df.schema)
 
 
 def audit_sink(batch: DataFrame, batch_id: int, root: str) -> None:
     """ST08: foreachBatch writer appending one batch of operations to the audit tables; the
     batch id makes the write idempotent (a replayed batch overwrites its own folder)."""
     from riskframe.operators.audit import audit_tables
+    batch.persist()
     for name, t in audit_tables(batch).items():
-        t.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{root.rstrip('/')}/{name}/batch_id={batch_id}")
+        t.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch_id={batch_id}")
+    batch.unpersist()
