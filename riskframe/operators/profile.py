@@ -65,18 +65,22 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def pairwise_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, r) for all ordered pairs of columns by number; each pair over the rows where both are present.
+    """(i, j, r) for all ordered pairs of columns by number; each pair over the rows where
+    both are present, null where either is constant there.
 
-    One lazy aggregate: a correlation a pair (``corr`` updates centred sums, so no shift
-    is needed), whose single row is unfolded into both orders and the diagonal.
+    A row is laid out once per column, so the aggregate holds the partners' moments of one
+    column a group, combined map-side into k rows of k values.
     """
     x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    entry = lambda i, j, r: F.struct(i.alias("i"), j.alias("j"), r.alias("r"))
-    one = x.agg(F.array(*[entry(F.lit(i), F.lit(j), F.corr(f"x{i}", f"x{j}")) for i, j in pairs]).alias("c"))
-    turned = F.transform("c", lambda e: entry(e["j"], e["i"], e["r"]))
-    diagonal = F.array(*[entry(F.lit(i), F.lit(i), F.lit(1.0)) for i in range(len(cols))])
-    return one.select(F.explode(F.concat("c", turned, diagonal)).alias("e")).select("e.*")
+    each = x.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in range(len(cols))])).alias("e"), "*")
+    one = F.col("e.x")
+
+    def corr(j: int):
+        other = F.col(f"x{j}")
+        spread = F.var_pop(F.when(other.isNotNull(), one)) * F.var_pop(F.when(one.isNotNull(), other))
+        return F.try_divide(F.covar_pop(one, other), F.sqrt(spread))
+    wide = each.groupBy(F.col("e.i").alias("i")).agg(F.array(*[corr(j) for j in range(len(cols))]).alias("r"))
+    return wide.select("i", F.posexplode("r").alias("j", "r"))
 
 
 def baseline_stats(df: DataFrame, features: list[str], quantile_method: str = "exact") -> DataFrame:
