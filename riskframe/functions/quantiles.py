@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sketch's rank error is at most 1 / ACCURACY; brackets are four times as wide.
-ACCURACY = 100_000
-_MARGIN = 4 / ACCURACY
+#: The sketch's rank error is at most 1 / ACCURACY; brackets are four times as wide.  Groups
+#: of fewer than 2 * ACCURACY values, where that is under eight ranks, are ranked as a whole.
+ACCURACY = 20_000
 
 
 def quantiles(long_df: DataFrame, group: str, value: str, probs: dict[str, float],
@@ -29,14 +29,14 @@ def quantiles(long_df: DataFrame, group: str, value: str, probs: dict[str, float
     if method == "approx":
         return x.groupBy(group).agg(*[
             F.percentile_approx("_v", q, accuracy).alias(n) for n, q in probs.items()])
-    names = list(probs)
-    edges = [e for n in names for e in (max(probs[n] - _MARGIN, 0.0), min(probs[n] + _MARGIN, 1.0))]
+    names, margin = list(probs), 4 / accuracy
+    edges = [e for n in names for e in (max(probs[n] - margin, 0.0), min(probs[n] + margin, 1.0))]
     sketch = x.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                   F.percentile_approx("_v", edges, accuracy).alias("_e"))
     bracket = sketch.select(group, "_n", F.array(*[
         F.struct(F.lit(n).alias("name"), F.lit(float(probs[n])).alias("q"),
-                 (F.col("_lo") if edges[2 * i] <= 0 else F.col("_e")[2 * i]).alias("lo"),
-                 (F.col("_hi") if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1]).alias("hi"))
+                 F.when((F.col("_n") < 2 * accuracy) | F.lit(edges[2 * i] <= 0), F.col("_lo")).otherwise(F.col("_e")[2 * i]).alias("lo"),
+                 F.when((F.col("_n") < 2 * accuracy) | F.lit(edges[2 * i + 1] >= 1), F.col("_hi")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"))
         for i, n in enumerate(names)]).alias("_t"))
     y = x.join(F.broadcast(bracket), group)
     # One row per value inside a bracket, and one per group and bracket for all values below it.

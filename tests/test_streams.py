@@ -27,6 +27,9 @@ def test_quantiles_on_tied_and_skewed_values(spark):
     values = [0.0] * 600 + [1e9] + [float(i) ** 3 for i in range(300)]
     df = spark.createDataFrame([("x", v) for v in values] + [("x", None), ("one", 5.0)], "g string, v double")
     got = {r.g: r for r in quantiles(df, "g", "v", {"a": 0.25, "b": 0.7, "c": 0.999, "d": 1.0, "e": 0.0}).collect()}
+    large = quantiles(spark.range(3000).selectExpr("'x' AS g", "pow(id % 1000, 3) AS v"), "g", "v", {"a": 0.25, "b": 0.777}, accuracy=100).first()
+    whole = [float(i % 1000) ** 3 for i in range(3000)]
+    assert [round(large[n], 3) for n in ("a", "b")] == [round(float(np.quantile(whole, q)), 3) for q in (0.25, 0.777)]
     for n, q in {"a": 0.25, "b": 0.7, "c": 0.999, "d": 1.0, "e": 0.0}.items():
         assert abs(got["x"][n] - np.quantile(values, q)) <= 1e-9 * max(1, abs(np.quantile(values, q)))
         assert got["one"][n] == 5.0
