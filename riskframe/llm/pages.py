@@ -3,9 +3,10 @@
 Every page is read into text lines, one per block, each with what its place in the markup
 says about it.  Pages of a host are put in URL path order; a page is compared with its
 neighbour in that order, the lines of both are aligned by longest common subsequence, and
-shared lines are deleted as template text.  Lines inside a marked article are its text and
-are kept even where a mirror page repeats them; lines in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments are never text.
+shared lines are deleted as template text, inside a marked article and outside.  Article
+marks are a check only: where the neighbour is a copy of the page, marked lines stay.  Lines
+in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+are never text.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "related", "share", "sharing",
          "social", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login",
          "comment", "comments", "disqus", "replies", "pagination", "pager", "copyright", "legal", "disclaimer", "toolbar", "skip"}
-#: Words that mark the text itself.
+#: Those that mark template parts wherever they stand.
+STRONG = {"ad", "ads", "advert", "advertisement", "comment", "comments", "notice"}
+#: Classes that mark the text itself.
 BODY_WORDS = {"article", "post", "entry", "story", "content", "main"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -59,7 +62,11 @@ def _marks(name: str, raw: str, inside: bool) -> tuple[bool, bool]:
     template = bool(name in CHROME or a.get("role") in ROLES or hidden)
     if not article and name not in ("html", "body"):
         template = template or bool(words & WORDS and not (inside and name in ("span", "b", "i", "em", "strong", "a", "p", "h1", "h2", "h3")
-                                                            and not words & {"ad", "ads", "advert", "advertisement", "comment", "comments", "notice"}))
+                                                            and not words & STRONG))
+    elif name == "article" or a.get("role") == "article":
+        classes, ident = set(a.get("class", "").lower().split()), a.get("id", "").lower()
+        strong = {_SPLIT.split(c)[0] for c in classes} | {ident.rstrip("0123456789").rstrip("-_")}
+        template = template or bool((classes | {ident}) & WORDS or strong & STRONG and not classes & BODY_WORDS)
     return template, article
 
 
@@ -183,15 +190,22 @@ def unshared(lines: list[str], other: list[str]) -> list[bool]:
 
 
 def main_text(lines: list[tuple[str, bool]], other: list[str] | None) -> str:
-    """The page's text: its marked article, else the lines its neighbour does not share.
+    """The page's text: the lines its neighbour does not share.
 
-    A page without article marks whose every line is shared (a mirror) says nothing about
-    its template, so it keeps its lines.
+    A neighbour that shares more than half of the page's characters and of its marked ones
+    is a copy and says nothing about the template: marked lines stay then, shared or not.
+    Without a neighbour the marks alone decide.  A page without article marks whose every
+    line is shared, or that has no neighbour, keeps its lines.
     """
-    if any(article for _, article in lines):
-        return "\n".join(t for t, article in lines if article)
     texts = [t for t, _ in lines]
-    keep = unshared(texts, other) if other is not None else [True] * len(texts)
+    marked = [t for t, article in lines if article]
+    if other is None:
+        return "\n".join(marked or texts)
+    keep = unshared(texts, other)
+    if marked:
+        gone = [(len(t), article) for (t, article), k in zip(lines, keep) if not k]
+        if 2 * sum(n for n, _ in gone) > sum(map(len, texts)) and 2 * sum(n for n, article in gone if article) > sum(map(len, marked)):
+            keep = [k or article for k, (_, article) in zip(keep, lines)]
     return "\n".join(t for t, k in zip(texts, keep) if k) if any(keep) else "\n".join(texts)
 
 

@@ -55,6 +55,24 @@ def test_unmarked_pages_lose_what_neighbours_share(spark):
     assert {r.text.count("\n") for r in pages.extract(mirror).collect()} == {4}
 
 
+def test_neighbours_decide_on_marked_pages_too(spark):
+    """Shared lines go inside an article, unshared ones outside stay; an article of comments is none."""
+    html = lambda i, kind: f"<body><div>Home</div><div>By {i}</div><{kind}><p>Story {i} {'s' * 40}</p><p>Join us</p></{kind}></body>"
+    said = lambda i: f"<body><div>Home</div><div>Story {i}</div><article class='comment'><p>Nice {i}</p></article><article id='comment-{i}'>Bad {i}</article></body>"
+    copy = lambda i: f"<body><div>Home</div><article class='post comments-open'><p>{'a' * 50}</p><p>{'b' * 50}</p><p>Edited {i}</p></article></body>"
+    teaser = lambda i: f"<body><article><p>Buy now</p></article><div>Story {i} {'s' * 40}</div></body>"
+    rows = [(i, f"http://a.com/{i}", html(i, "article")) for i in range(5)] + [(10 + i, f"http://b.com/{i}", said(i)) for i in range(5)] \
+        + [(20 + i, f"http://c.com/{i}", copy(i)) for i in range(5)] + [(30 + i, f"http://d.com/{i}", teaser(i)) for i in range(5)] \
+        + [(40, "http://e.com/", html(0, "article"))]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"By {i}\nStory {i} {'s' * 40}"
+        assert got[10 + i] == f"Story {i}"
+        assert got[20 + i] == f"{'a' * 50}\n{'b' * 50}\nEdited {i}"
+        assert got[30 + i] == f"Story {i} {'s' * 40}"
+    assert got[40] == f"Story 0 {'s' * 40}\nJoin us"
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
