@@ -12,15 +12,16 @@ are never text.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import cut
+from riskframe.llm.common import cut, drop_cut
 from riskframe.llm.urls import host_and_path
 
 #: Fixed values of HTML: elements without content, elements of raw text, elements that start a block.
@@ -209,58 +210,163 @@ def main_text(lines: list[tuple[str, bool]], other: list[str] | None) -> str:
     return "\n".join(t for t, k in zip(texts, keep) if k) if any(keep) else "\n".join(texts)
 
 
-#: Pages of a host that are sorted in one task; larger hosts are dealt into parts by path.
+#: Twice the pages of a part, the pages that one task compares.
 HOST_PAGES = 1024
-#: Large hosts (at most a row for every HOST_PAGES pages) that are broadcast; more are joined by shuffle.
-LARGE_HOSTS = 500_000
+#: Parts at most, besides those that ranges add: more pages make larger parts, so that the list of starts stays small.
+PARTS = 50_000
 
+_ORDER = ("host", "path", "page_id", "mark")
 
-def _lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, line[], article[]) of every row."""
+
+def _place(host: bytes, path: bytes, page: int | None, mark: int) -> tuple:
+    """A page's place in Spark's order of its columns, null first."""
+    return host, path, -(1 << 63) - 1 if page is None else page, mark
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(host, path, page_id, mark, same) of every row; ``same`` is a hash of its lines."""
     def run(batches):
         for batch in batches:
-            got = [lines_of(h) for h in batch.column(2).to_pylist()]
+            same = [xxhash.xxh128_digest("\n".join(t for t, _ in lines_of(h))) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ORDER), pa.array(same, pa.binary())], [*_ORDER, "same"])
+    return rows.mapInArrow(run, "host binary, path binary, page_id long, mark long, same binary")
+
+
+_EDGES = ("first", "first_other", "last", "last_other")
+
+
+def _edges(ordered: DataFrame, step: int) -> DataFrame:
+    """For every ``step`` pages in order: the first page, the next of its host with other lines, the last, and the one before with other lines."""
+    names = (*_ORDER, "same")
+
+    def run(batches):
+        part, n = None, 0
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if part is None or n >= step and row[:4] != part[2][:4]:       # equal places stay together
+                    if part:
+                        out.append(part)
+                    part, n = [row, None, row, None], 1
+                    continue
+                first, _, last, _ = part
+                if part[1] is None and row[0] == first[0] and row[4] != first[4]:
+                    part[1] = row
+                if row[0] != last[0]:
+                    part[3] = None
+                elif row[4] != last[4]:
+                    part[3] = last
+                part[2] = row
+                n += 1
+            if out:
+                yield batch_of(out)
+        if part:
+            yield batch_of([part])
+
+    kind = pa.struct([("host", pa.binary()), ("path", pa.binary()), ("page_id", pa.int64()), ("mark", pa.int64()), ("same", pa.binary())])
+
+    def batch_of(parts):
+        return pa.RecordBatch.from_arrays([pa.array([x and dict(zip(names, x)) for x in c], kind) for c in zip(*parts)], list(_EDGES))
+    one = "struct<host: binary, path: binary, page_id: bigint, mark: bigint, same: binary>"
+    return ordered.mapInArrow(run, ", ".join(f"{e} {one}" for e in _EDGES))
+
+
+def _guests(parts: list[tuple]) -> dict[tuple, list[int]]:
+    """place -> parts that need this page of another part as a neighbour.
+
+    These are the last page of the host before the part, the one before that with other
+    lines, and the first page of the host behind the part with lines other than its last.
+    """
+    out: dict[tuple, list[int]] = {}
+
+    def invite(page, p):
+        out.setdefault(_place(*page[:4]), []).append(p)
+    last = other = None
+    for p, (first, _, end, end_other) in enumerate(parts):
+        if last is not None and last[0] == first[0]:
+            for page in (last, other):
+                if page is not None:
+                    invite(page, p)
+        if end_other is None and last is not None and last[0] == first[0] == end[0]:
+            other = last if last[4] != end[4] else other
+        else:
+            other = end_other
+        last = end
+    behind = None                                              # for part p + 1: what follows its last page
+    for p in range(len(parts) - 2, -1, -1):
+        end, (first, first_other, next_end, _) = parts[p][2], parts[p + 1]
+        if first[0] != end[0]:
+            behind = None
+        elif first[4] != end[4]:
+            behind = first
+        elif first_other is not None:
+            behind = first_other
+        elif next_end[0] != end[0]:
+            behind = None
+        if behind is not None:
+            invite(behind, p)
+    return out
+
+
+def _dealt(rows: DataFrame, starts: list[tuple], guests: dict[tuple, list[int]]) -> DataFrame:
+    """The lines of every row with its part; pages that other parts need go there too, as guests."""
+    def run(batches):
+        for batch in batches:
+            got = [lines_of(h) for h in batch.column("html").to_pylist()]
+            at, part, guest = [], [], []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in _ORDER))):
+                place = _place(*row)
+                for p in (bisect_right(starts, place) - 1, *guests.get(place, ())):
+                    guest.append(bool(at and at[-1] == i))
+                    at.append(i)
+                    part.append(p)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(pa.string()), pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())),
-                 pa.array([[a for _, a in g] for g in got], pa.list_(pa.bool_()))], ["page_id", "url", "line", "article"])
-    return pages.mapInArrow(run, "page_id long, url string, line array<string>, article array<boolean>")
+                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("page_id", "url", *_ORDER[:2], "mark")), pa.array(part, pa.int32()),
+                 pa.array(guest, pa.bool_()), pa.array([[t for t, _ in got[i]] for i in at], pa.list_(pa.string())),
+                 pa.array([[a for _, a in got[i]] for i in at], pa.list_(pa.bool_()))],
+                ["page_id", "url", "host", "path", "mark", "part", "guest", "line", "article"])
+    return rows.mapInArrow(run, "page_id long, url string, host binary, path binary, mark long, part int, guest boolean, "
+                                "line array<string>, article array<boolean>")
 
 
 def _difference(batches):
-    """Rows sorted by host, part and path: each page against the nearest one with other lines."""
+    """Rows sorted by part and place: each page but guests against the nearest one with other lines."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())])
+    out, known = [], [None, None, 0]
 
-    def finish(unit, other):
-        lines, article, metas = unit
-        texts = [*lines]
-        text = main_text(list(zip(texts, article)), other)
-        shared = unshared(texts, other).count(False) if other is not None else 0
-        return [(p, u, text, len(text), shared) for p, u in metas]
+    def finish(page, url, line, article, other):
+        if known[0] != article:
+            known[:] = article, main_text(list(zip(line, article)), other), unshared(line, other).count(False) if other is not None else 0
+        out.append((page, url, known[1], len(known[1]), known[2]))
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    group, before, now, out, weight = None, None, None, [], 0
+    group, now, before, early, weight = None, None, None, [], 0
     for batch in batches:
-        for page, url, host, part, line, article in zip(*(c.to_pylist() for c in batch.columns)):
-            if (host, part) != group:
-                if now:
-                    out += finish(now, before)
-                group, before, now = (host, part), None, None
-            if now and now[0] == line and now[1] == article:
-                now[2].append((page, url))
+        for page, url, host, part, guest, line, article in zip(*(c.to_pylist() for c in batch.columns)):
+            new = (host, part) != group
+            if new or line != now:
+                known[0] = None
+                for p, u, a in early:                          # a host's first lines: against the next ones
+                    finish(p, u, now, a, None if new else line)
+                early, known[0] = [], None
+                before, now = None if new else now, line
+                group = host, part
+            if guest:
                 continue
-            if now:
-                done = finish(now, before if before is not None else line)
-                out += done
-                weight += sum(r[3] for r in done)
-                before = now[0]
-            now = (line, article, [(page, url)])
+            if before is None:
+                early.append((page, url, article))
+            else:
+                finish(page, url, line, article, before)
+                weight += len(known[1])
             if weight > 8_000_000:
                 yield batch_of(out)
-                out, weight = [], 0
-    if now:
-        out += finish(now, before)
+                out.clear()
+                weight = 0
+    known[0] = None
+    for p, u, a in early:
+        finish(p, u, now, a, None)
     if out:
         yield batch_of(out)
 
@@ -271,22 +377,23 @@ def extract(pages: DataFrame, host_pages: int = HOST_PAGES) -> DataFrame:
     Null html is the empty page with empty text; a null url has the empty host and path.
     Pages of a host are ordered by path, then page_id, and a page's neighbour is the page
     before it (the one after, for the first) whose lines differ; repeated pages are one
-    there and still get a row each.  A host of more than ``host_pages`` pages is dealt
-    into parts by a hash of the path, so that no task sorts a whole large host.  Other
+there and still get a row each.  Pages are cut in that order into parts of half
+    ``host_pages``, so that no task sorts a whole large host; the neighbours that lie in
+    other parts are copied there, so the cuts do not change results.  Other
     columns are ignored; an empty table gives no rows.  ``n_shared`` counts the lines a
     page shares with its neighbour.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    large = rows.groupBy(host_and_path("url")[0].alias("host")).count().where(F.col("count") > host_pages) \
-        .select(F.col("host").alias("large"), F.ceil(F.col("count") / (host_pages // 2)).alias("parts"))
-    large = cut(large, "pages-hosts")
-    if large.count() <= LARGE_HOSTS:
-        large = F.broadcast(large)
     host, path = host_and_path("url")
-    dealt = _lines(rows).withColumns({"host": host, "path": path}) \
-        .join(large, F.col("host") == F.col("large"), "left") \
-        .withColumn("part", F.coalesce(F.pmod(F.xxhash64("path"), F.col("parts")), F.lit(0)))
-    return dealt.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id") \
-        .select("page_id", "url", "host", "part", "line", "article") \
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")) \
+        .select("page_id", "url", host.cast("binary").alias("host"), path.cast("binary").alias("path"), F.xxhash64("html").alias("mark"), "html")
+    hashed = cut(_hashed(rows), "pages-order")
+    step = max(1, host_pages // 2, -(-hashed.count() // PARTS))
+    found = _edges(hashed.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER), step).collect()
+    drop_cut(hashed)
+    parts = sorted((tuple(e and tuple(bytes(v) if isinstance(v, bytearray) else v for v in e) for e in r) for r in found),
+                   key=lambda p: _place(*p[0][:4]))
+    return _dealt(rows, [_place(*p[0][:4]) for p in parts], _guests(parts)) \
+        .repartition("part").sortWithinPartitions("part", *_ORDER) \
+        .select("page_id", "url", "host", "part", "guest", "line", "article") \
         .mapInArrow(_difference, "page_id long, url string, text string, n_chars long, n_shared long")

@@ -73,6 +73,38 @@ def test_neighbours_decide_on_marked_pages_too(spark):
     assert got[40] == f"Story 0 {'s' * 40}\nJoin us"
 
 
+def brute_neighbours(rows):
+    """id -> (text, n_shared) by one pass over all pages in order."""
+    out, order = {}, sorted(rows, key=lambda r: (r[1].split("/")[2], r[1].split("/", 3)[3], r[0]))
+    lines = [pages.lines_of(r[2]) for r in order]
+    plain = [[t for t, _ in x] for x in lines]
+    hosts = [r[1].split("/")[2] for r in order]
+    for i, row in enumerate(order):
+        near = [j for j in (*range(i - 1, -1, -1), *range(i + 1, len(order))) if hosts[j] == hosts[i] and plain[j] != plain[i]]
+        other = plain[near[0]] if near else None
+        out[row[0]] = pages.main_text(lines[i], other), pages.unshared(plain[i], other).count(False) if near else 0
+    return out
+
+
+def test_size_of_parts_changes_no_neighbour(spark):
+    """Sections share lines, runs of mirror pages go over several parts, hosts begin and end inside parts."""
+    rng = random.Random(3)
+    rows = []
+    for host in ("a", "b", "c", "d"):
+        n = 0
+        while n < rng.choice((3, 40, 60)):
+            body = f"<div>Home</div><div>Part {n // 7}</div><div>Is {rng.randrange(4)}</div>" + "<article>x</article>" * rng.randrange(2)
+            for _ in range(rng.choice((1, 1, 1, 2, 9, 30))):
+                rows.append((len(rows), f"http://{host}.com/s{n // 7:02}/{n:03}", body + "<!-- -->" * rng.randrange(2)))
+                n += 1
+    rows += [(len(rows) + i, f"http://m.com/{i:03}", f"<div>mirror</div><!-- {i} -->") for i in range(20)]
+    rows += [(len(rows) + i, f"http://n.com/{i:03}", "<div>mirror</div>" if i < 19 else "<div>End</div><div>mirror</div>") for i in range(20)]
+    want = brute_neighbours(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).cache()
+    for size in (2, 8, 10, 4096):
+        assert {r.page_id: (r.text, r.n_shared) for r in pages.extract(df, size).collect()} == want
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
