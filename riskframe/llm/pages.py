@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from difflib import SequenceMatcher
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -146,6 +146,51 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
     return out
 
 
+#: Pairs of equal lines that are listed one by one; more are aligned in bits, in linear space.
+MATCHES = 4_000_000
+
+
+def _lengths(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of ``xs`` and each prefix of ``ys``: a bit vector over ``ys``, a step for each x."""
+    at: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        at.setdefault(y, []).append(j)
+    bits, full = {}, (1 << len(ys)) - 1
+    for x in set(xs):
+        mask = np.zeros(len(ys), np.uint8)
+        mask[at.get(x, [])] = 1
+        bits[x] = int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little")
+    v = full
+    for x in xs:
+        u = v & bits[x]
+        v = ((v + u) | (v - u)) & full
+    up = np.unpackbits(np.frombuffer(v.to_bytes((len(ys) + 7) // 8, "little"), np.uint8), count=len(ys), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - up.astype(np.int64))))
+
+
+def _aligned(xs: list[str], ys: list[str]) -> list[int]:
+    """Places in ``xs`` of a longest common subsequence with ``ys``, by halving (Hirschberg)."""
+    out, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and xs[a] == ys[c]:
+            out.append(a)
+            a, c = a + 1, c + 1
+        while a < b and c < d and xs[b - 1] == ys[d - 1]:
+            b, d = b - 1, d - 1
+            out.append(b)
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            if xs[a] in ys[c:d]:
+                out.append(a)
+            continue
+        mid = (a + b) // 2
+        split = c + int(np.argmax(_lengths(xs[a:mid], ys[c:d]) + _lengths(xs[mid:b][::-1], ys[c:d][::-1])[::-1]))
+        todo += [(a, mid, c, split), (mid, b, split, d)]
+    return out
+
+
 def unshared(lines: list[str], other: list[str]) -> list[bool]:
     """False for the lines that a longest common subsequence shares with ``other``.
 
@@ -166,10 +211,9 @@ def unshared(lines: list[str], other: list[str]) -> list[bool]:
     for j in range(b - 1, lo - 1, -1):
         if other[j] in common:
             places.setdefault(other[j], []).append(j)
-    if sum(len(places[lines[i]]) for i in xs) > 4_000_000:      # equal lines in great numbers: a common subsequence by blocks
-        for block in SequenceMatcher(None, lines[lo:a], other[lo:b], autojunk=False).get_matching_blocks():
-            for i in range(block.a, block.a + block.size):
-                keep[lo + i] = False
+    if sum(len(places[lines[i]]) for i in xs) > MATCHES:               # equal lines in great numbers
+        for i in _aligned([lines[i] for i in xs], [x for x in other[lo:b] if x in common]):
+            keep[xs[i]] = False
         return keep
     ends: list[int] = []
     last: list[tuple] = []

@@ -23,6 +23,24 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert all(x in it for x in gone)
 
 
+def test_lines_repeated_in_great_numbers_are_aligned_whole(monkeypatch):
+    rng = random.Random(4)
+    a, b = ([rng.choice("abcd" * 9 + "xyz") for _ in range(4_600)] for _ in range(2))
+    assert sum(a.count(x) * b.count(x) for x in set(a)) > pages.MATCHES
+    gone = [x for x, k in zip(a, pages.unshared(a, b)) if not k]
+    it = iter(b)
+    assert all(x in it for x in gone)
+    with monkeypatch.context() as m:
+        m.setattr(pages, "MATCHES", 1 << 60)
+        assert len(gone) == pages.unshared(a, b).count(False)
+        m.setattr(pages, "MATCHES", 0)
+        for _ in range(300):
+            a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(25))] for _ in range(2))
+            gone = [x for x, k in zip(a, pages.unshared(a, b)) if not k]
+            it = iter(b)
+            assert len(gone) == brute_lcs(a, b) and all(x in it for x in gone)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{a:b}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- <p>gone</p> --><div class="ad">Buy</div>
 <article><h1>Head &lt;1&gt;</h1><p>One <b>two</b>
