@@ -39,6 +39,13 @@ def test_recall_on_the_given_vectors(spark):
     assert recall(ann.neighbours(df).collect(), brute(rows, 50, 5)) >= 0.9
 
 
+def test_recall_with_all_leaves(spark):
+    df = table(spark, "/root/testdata/check_s", "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert len(rows) > ann.TREES * ann.LEAF_ROWS * 2 ** ann.DEPTH // 4
+    assert recall(ann.neighbours(df, every=200).collect(), brute(rows, 200, 5)) >= 0.9
+
+
 def test_odd_vectors_and_large_classes(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(300)]
