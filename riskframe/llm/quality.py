@@ -1,8 +1,8 @@
 """Quality by importance resampling of hashed n-gram models.
 
 Two bags of hashed n-grams are estimated: one of target text (documents labelled good) and
-one of the raw corpus (all documents).  A document's log weight is the log ratio of its
-probability under both; Gumbel noise is added and the k largest keys are the sample.
+one of the raw corpus (all documents).  A document's log weight is the mean log ratio per
+n-gram of its probability under both, times 100; Gumbel noise is added and the k largest keys are the sample.
 N-grams are words, word pairs and pairs of word shapes with a mark for a repeated word.
 """
 
