@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import ann, bpe, decontam, lines, pages, pii, quality, simhash, suffix, urls
+from riskframe.llm import ann, bpe, decontam, lines, pages, pii, quality, rules, simhash, suffix, urls
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op8_lines, op9_urls, op10_bpe)}
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op8_lines, op9_urls, op10_bpe, op11_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL}
