@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import ann, bpe, decontam, lines, pages, phrases, pii, quality, rules, simhash, suffix, urls
+from riskframe.llm import ann, bpe, decontam, lines, pages, phrases, pii, quality, rules, simhash, suffix, trie, urls
 from riskframe.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op8_lines, op9_urls, op10_bpe, op11_rules, op12_phrases)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_ann, op2_quality, op3_pii, op4_suffix, op5_decontamination, op6_simhash, op7_html, op8_lines, op9_urls, op10_bpe, op11_rules, op12_phrases, op13_trie)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op5_decontamination": decontam.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL,
+                          "op13_trie": trie.ORACLE_SQL}
