@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +25,9 @@ LEAST = 100
 TOP = 2000
 #: The bitmap of phrases that may be frequent has 2^27 bits, 16 MB, at any corpus size.
 BITMAP_BITS = 27
-#: Words that a task holds before it sends its counts on, and bytes of a text that it splits at once.
-FLUSH = 1 << 21
-SLICE = 1 << 21
+#: Bytes that a task holds before it sends its counts on, and bytes that it looks at in one step.
+FLUSH = 8 << 20
+SLICE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, piece ends become \n, tabs become blanks.
@@ -38,8 +39,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word_hashes(words) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64)
+_LETTER = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
 def _extend(left: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -56,58 +56,124 @@ def _slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
+def _scan(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop, number of the piece and 64-bit hash of every word of a cleaned text that ends with a blank or \\n."""
+    data = np.frombuffer(part, np.uint8)
+    cut_ = data == 0x0A
+    gap = cut_ | (data == 0x20)
+    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return start, start, start, np.empty(0, np.uint64)
+    n = stop - start
+    inside = np.flatnonzero(~gap)
+    first = np.cumsum(n) - n
+    power = np.cumprod(np.full(int(n.max()), 0x100000001B3, np.uint64))
+    h = np.add.reduceat(_LETTER[data[inside]] * power[np.arange(len(inside)) - np.repeat(first, n)], first)
+    return start, stop, np.cumsum(cut_)[start], _mix(h)
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers of the words, equal for equal words only: words of equal hash are compared byte by byte."""
+    code, _ = pd.factorize(h)
+    first = np.empty(len(h), np.int64)
+    first[code[::-1]] = np.arange(len(h))[::-1]
+    rep, n = first[code], stop - start
+    same = np.array_equal(n, n[rep])
+    for at in range(0, len(h) if same else 0, 1 << 17):
+        some = slice(at, at + (1 << 17))
+        k = n[some]
+        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        if not np.array_equal(data[np.repeat(start[some], k) + step], data[np.repeat(start[rep[some]], k) + step]):
+            same = False
+            break
+    if not same:
+        code, _ = pd.factorize(np.array([data[s:e].tobytes() for s, e in zip(start, stop)], object))
+    return code
+
+
 def _seen(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h >> np.uint64(64 - BITMAP_BITS)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 class _Held:
-    """Words of one task by language, as numbers of distinct words; 0 ends a piece."""
+    """Cleaned texts of one task by language."""
 
     def __init__(self, order: int, bitmap: np.ndarray | None):
         self.order, self.bitmap = order, bitmap
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.ids, self.size = {b"\n": 0}, {}, 0
+        self.parts, self.size = {}, 0
 
     def add(self, lang: str, text: bytes) -> None:
-        number = self.number
         for part in _slices(text.translate(_CLEAN)):
-            words = part.replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter((number.setdefault(w, len(number)) for w in words if w), np.int64)
-            self.ids.setdefault(lang, []).append(np.append(ids, 0))
-            self.size += len(ids)
+            self.parts.setdefault(lang, []).append(part + b"\n")
+            self.size += len(part) + 1
 
     def counted(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
         """(lang, phrases, counts) of the order's phrases that can be frequent; for words also the number of all words, under no name."""
-        words = list(self.number)
-        hashes = _word_hashes(words)
-        for lang, parts in self.ids.items():
-            ids = np.concatenate(parts)
-            if self.order == 1:
-                count = np.bincount(ids, minlength=len(words))
-                at = np.flatnonzero(count[1:]) + 1
-                yield lang, [b"", *[words[i] for i in at]], np.append(count[1:].sum(), count[at])
-                continue
-            n = len(ids) - self.order + 1
-            if n < 1:
-                continue
-            # Hashes of the phrases one word shorter; a phrase counts where both of its own can be frequent.
-            seed = np.uint64(xxhash.xxh64_intdigest(lang))
-            h, ok = _mix(hashes[ids] ^ seed), ids > 0
-            for i in range(1, self.order - 1):
-                h = _extend(h[:-1], hashes[ids[i:]])
-                ok = ok[:-1] & (ids[i:] > 0)
-            ok &= _seen(self.bitmap, h)
-            at = np.flatnonzero(ok[:-1] & ok[1:])
-            key, where = ids[at], at
-            for i in range(1, self.order):
-                key, first, inverse, count = np.unique(key * len(words) + ids[at + i], return_index=True, return_inverse=True, return_counts=True)
-                where, key = at[first], inverse
-            if len(at):
-                names = [b" ".join([words[j] for j in ids[p: p + self.order]]) for p in where]
-                yield lang, names, count
+        for lang, parts in self.parts.items():
+            yield lang, *self._count(lang, parts)
+
+    def _count(self, lang: str, parts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        order, found, at, piece = self.order, [], 0, 0
+        steps = _joined(parts)
+        whole = b"".join(steps)
+        for step in steps:
+            start, stop, pieces, h = _scan(step)
+            found.append((start + at, stop + at, pieces + piece, h))
+            at, piece = at + len(step), piece + step.count(b"\n")
+        start, stop, pieces, h = (np.concatenate(x) for x in zip(*found))
+        data = np.frombuffer(whole, np.uint8)
+        if order == 1:
+            id_ = _distinct(data, start, stop, h)
+            count = np.bincount(id_)
+            first = np.empty(len(count), np.int64)
+            first[id_[::-1]] = np.arange(len(id_))[::-1]
+            return [b"", *[whole[s:e] for s, e in zip(start[first].tolist(), stop[first].tolist())]], np.append(len(id_), count)
+        n = len(h) - order + 1
+        if n < 1:
+            return [], np.empty(0, np.int64)
+        # Hashes of the phrases one word shorter; a phrase counts where both of its own can be frequent.
+        shorter = _mix(h ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+        for i in range(1, order - 1):
+            shorter = _extend(shorter[:-1], h[i:])
+        seen = _seen(self.bitmap, shorter)
+        at = np.flatnonzero(seen[:n] & seen[1: n + 1] & (pieces[:n] == pieces[order - 1:]))
+        if not len(at):
+            return [], np.empty(0, np.int64)
+        used = np.zeros(len(h), bool)
+        for i in range(order):
+            used[at + i] = True
+        used = np.flatnonzero(used)
+        id_ = np.zeros(len(h), np.int64)
+        id_[used] = _distinct(data, start[used], stop[used], h[used])
+        key = id_[at]
+        for i in range(1, order):
+            key, _ = pd.factorize(key * len(used) + id_[at + i])
+        count = np.bincount(key)
+        first = np.empty(len(count), np.int64)
+        first[key[::-1]] = at[::-1]
+        last = first + order - 1
+        names = [whole[s:e] for s, e in zip(start[first].tolist(), stop[last].tolist())]
+        length = sum(stop[first + i] - start[first + i] for i in range(order)) + order - 1
+        for i in np.flatnonzero(stop[last] - start[first] != length).tolist():
+            names[i] = b" ".join(names[i].split())          # more than one blank between words
+        return names, count
+
+
+def _joined(parts: list[bytes]) -> list[bytes]:
+    """``parts`` put together to about SLICE bytes each."""
+    out, held, size = [], [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= SLICE:
+            out.append(b"".join(held))
+            held, size = [], 0
+    return out + [b"".join(held)] if held else out
 
 
 def _counts(docs: DataFrame, order: int, shared) -> DataFrame:
@@ -135,13 +201,14 @@ def _bitmap(phrases: DataFrame) -> bytes:
     """Bits of the hashes of ``phrases`` (lang, phrase): 16 MB whatever their number, the driver gets words of 64 bits."""
     def run(batches):
         for batch in batches:
-            out = np.empty(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())):
-                h = _word_hashes(phrase.split(b" "))
-                x = _mix(h[:1] ^ np.uint64(xxhash.xxh64_intdigest(lang)))
-                for j in range(1, len(h)):
-                    x = _extend(x, h[j: j + 1])
-                out[i] = x[0]
+            _, _, piece, h = _scan(b"\n".join(batch.column(1).cast(pa.binary()).to_pylist()) + b"\n")
+            seeds = np.array([xxhash.xxh64_intdigest(x) for x in batch.column(0).to_pylist()], np.uint64)
+            first = np.searchsorted(piece, np.arange(batch.num_rows))
+            size = np.diff(first, append=len(piece))
+            out = _mix(h[first] ^ seeds)
+            for i in range(1, int(size.max(initial=1))):
+                more = np.flatnonzero(size > i)
+                out[more] = _extend(out[more], h[first[more] + i])
             yield pa.RecordBatch.from_arrays([pa.array((out >> np.uint64(64 - BITMAP_BITS)).astype(np.int64))], ["bit"])
     words = phrases.mapInArrow(run, "bit long").groupBy(F.expr("bit div 64").alias("at")) \
         .agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")).toArrow()
@@ -175,7 +242,7 @@ def _suffix(phrase: str = "phrase") -> Column:
     return F.expr(f"substring({phrase}, instr({phrase}, ' ') + 1)")
 
 
-def _beside(orders: list[DataFrame], part: Column, grow) -> tuple[DataFrame, DataFrame]:
+def _beside(orders: list[DataFrame], side: str, part: Column, grow) -> tuple[DataFrame, DataFrame]:
     """One pass over the orders in the order of ``part``, the phrase less one word.
 
     Gives (lang, phrase, f, parts) of all phrases of two words or more, ``parts`` with the
@@ -186,7 +253,7 @@ def _beside(orders: list[DataFrame], part: Column, grow) -> tuple[DataFrame, Dat
     below = orders[0].select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"), none.alias("part_parts"))
     streams, equalled = [], []
     for rows in orders[1:]:
-        both = rows.withColumn("part", part).join(below.hint("merge"), ["lang", "part"])
+        both = cut(rows.withColumn("part", part).join(below.hint("merge"), ["lang", "part"]), f"phrases-{side}")
         equalled.append(both.where("f = part_f").select("lang", F.col("part").alias("phrase")))
         stream = both.select("lang", "phrase", "f", grow(F.col("part_parts"), F.array("part_f")).alias("parts"))
         streams.append(stream)
@@ -206,8 +273,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     them that does too, so extensions by one word decide on all.
     """
     orders, totals = frequent(docs, least, longest)
-    first, right = _beside(orders, _prefix(), lambda parts, f: F.concat(parts, f))
-    last, left = _beside(orders, _suffix(), lambda parts, f: F.concat(f, parts))
+    first, right = _beside(orders, "prefix", _prefix(), lambda parts, f: F.concat(parts, f))
+    last, left = _beside(orders, "suffix", _suffix(), lambda parts, f: F.concat(f, parts))
     both = first.select("lang", "phrase", F.col("f").alias("a"), F.col("parts").alias("ls")) \
         .join(last.select("lang", "phrase", F.col("parts").alias("rs")).hint("merge"), ["lang", "phrase"])
     kept = both.join(right.union(left).distinct().hint("merge"), ["lang", "phrase"], "left_anti").join(totals, "lang")
