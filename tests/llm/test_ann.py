@@ -40,9 +40,13 @@ def test_recall_on_the_given_vectors(spark):
 
 
 def test_recall_with_all_leaves(spark):
-    df = table(spark, "/root/testdata/check_s", "embeddings")
-    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    """Enough vectors to fill every leaf, random but around centres, as embeddings are."""
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((40, 64))
+    vectors = (centres[rng.integers(0, 40, 5000)] + rng.standard_normal((5000, 64))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     assert len(rows) > ann.TREES * ann.LEAF_ROWS * 2 ** ann.DEPTH // 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert recall(ann.neighbours(df, every=200).collect(), brute(rows, 200, 5)) >= 0.9
 
 
