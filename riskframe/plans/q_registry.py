@@ -3,7 +3,7 @@ D06, D07, D09, D10, U01, U02, A13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import rnd
@@ -14,33 +14,43 @@ from riskframe.sources import metadata_views as MV
 _PERF = ["accuracy", "precision", "recall", "f1", "auc", "drift", "error_rate"]
 
 
+def _last_row() -> Column:
+    """Orders registrations of one version without ties."""
+    return F.struct("registered_at", "accuracy", "f1")
+
+
+def _by(value: str) -> Column:
+    """Orders versions by a value; of equal ones the larger id is last."""
+    return F.struct(value, "version_id")
+
+
 @query("register_versions", """SELECT version_id, any_value(model_type) AS model_type, max(registered_at) AS registered_at,
-  arg_max(accuracy, registered_at) AS accuracy, arg_max(f1, registered_at) AS f1 FROM registrations GROUP BY version_id""")
+  arg_max(accuracy, (registered_at, accuracy, f1)) AS accuracy, arg_max(f1, (registered_at, accuracy, f1)) AS f1
+  FROM registrations GROUP BY version_id""")
 def register_versions(spark, sf):
     """Append-only registrations; the latest row per version id wins (max_by fold)."""
     r = MV.registrations(spark, sf)
     return r.groupBy("version_id").agg(F.first("model_type").alias("model_type"), F.max("registered_at").alias("registered_at"),
-                                       F.max_by("accuracy", "registered_at").alias("accuracy"),
-                                       F.max_by("f1", "registered_at").alias("f1"))
+                                       F.max_by("accuracy", _last_row()).alias("accuracy"), F.max_by("f1", _last_row()).alias("f1"))
 
 
-@query("active_versions", "SELECT model_type, arg_max(version_id, registered_at) AS active_version FROM registrations GROUP BY model_type")
+@query("active_versions", "SELECT model_type, arg_max(version_id, (registered_at, version_id)) AS active_version FROM registrations GROUP BY model_type")
 def active_versions(spark, sf):
     """After all activations (each registration activates), one active version per model."""
     r = MV.registrations(spark, sf)
-    return r.groupBy("model_type").agg(F.max_by("version_id", "registered_at").alias("active_version"))
+    return r.groupBy("model_type").agg(F.max_by("version_id", _by("registered_at")).alias("active_version"))
 
 
 @query("champions", """WITH p AS (SELECT model_type, version_id, registered_at,
   lag(version_id) OVER (PARTITION BY model_type ORDER BY registered_at, version_id) AS previous FROM registrations WHERE accuracy >= 0.5)
-SELECT model_type, arg_max(version_id, registered_at) AS champion, arg_max(previous, registered_at) AS demoted FROM p GROUP BY model_type""")
+SELECT model_type, arg_max(version_id, (registered_at, version_id)) AS champion, arg_max(previous, (registered_at, version_id)) AS demoted FROM p GROUP BY model_type""")
 def champions(spark, sf):
     """Promotions (registrations with accuracy >= .5) demote the previous champion of the
     same type: the champion is the last promotion, the demoted one its predecessor."""
     r = MV.registrations(spark, sf).filter(F.col("accuracy") >= 0.5)
     p = r.withColumn("previous", F.lag("version_id").over(Window.partitionBy("model_type").orderBy("registered_at", "version_id")))
-    return p.groupBy("model_type").agg(F.max_by("version_id", "registered_at").alias("champion"),
-                                       F.max_by("previous", "registered_at").alias("demoted"))
+    return p.groupBy("model_type").agg(F.max_by("version_id", _by("registered_at")).alias("champion"),
+                                       F.max_by("previous", _by("registered_at")).alias("demoted"))
 
 
 _MV_COLS = "version_id, model_type, created_at, accuracy, f1, version_number, is_active, is_production"
@@ -61,7 +71,7 @@ def version_history(spark, sf):
         Window.partitionBy("model_type").orderBy(F.col("created_at").desc(), "version_id")).cast("int").alias("position"))
 
 
-@query("rollback_target", """SELECT a.model_type, arg_max(v.version_id, v.created_at) AS rollback_version
+@query("rollback_target", """SELECT a.model_type, arg_max(v.version_id, (v.created_at, v.version_id)) AS rollback_version
 FROM model_versions a JOIN model_versions v ON a.model_type = v.model_type AND v.created_at < a.created_at
 WHERE a.is_active GROUP BY a.model_type""")
 def rollback_target(spark, sf):
@@ -69,7 +79,7 @@ def rollback_target(spark, sf):
     v = MV.model_versions(spark, sf)
     act = v.filter("is_active").select("model_type", F.col("created_at").alias("active_at"))
     c = v.join(act, "model_type").filter(F.col("created_at") < F.col("active_at"))
-    return c.groupBy("model_type").agg(F.max_by("version_id", "created_at").alias("rollback_version"))
+    return c.groupBy("model_type").agg(F.max_by("version_id", _by("created_at")).alias("rollback_version"))
 
 
 @query("version_retention", """WITH v AS (SELECT *, is_active OR is_production AS protected,
@@ -89,23 +99,30 @@ def version_retention(spark, sf):
     return v.select("version_id", "model_type", keep.alias("keep"))
 
 
-@query("version_comparison", """SELECT model_type, arg_max(version_id, accuracy) AS best_version, round(max(accuracy), 9) AS best_accuracy,
-  count(*) AS versions FROM model_versions GROUP BY model_type""")
+_COMPARED = ("accuracy", "f1")
+
+
+@query("version_comparison", " UNION ALL ".join(f"""SELECT model_type, '{m}' AS metric, version_id, round({m}, 9) AS value,
+  count(*) OVER (PARTITION BY model_type) AS versions,
+  version_id = first_value(version_id) OVER (PARTITION BY model_type ORDER BY {m} DESC, version_id DESC) AS is_best FROM model_versions""" for m in _COMPARED))
 def version_comparison(spark, sf):
-    """Versions of a model compared on the first metric (accuracy): the best one."""
+    """Every version of a model with its metrics; the best one of each metric is marked, ties go to the larger id."""
     v = MV.model_versions(spark, sf)
-    return v.groupBy("model_type").agg(F.max_by("version_id", "accuracy").alias("best_version"),
-                                       rnd(F.max("accuracy"), 9).alias("best_accuracy"), F.count(F.lit(1)).alias("versions"))
+    best = v.groupBy("model_type").agg(F.count(F.lit(1)).alias("versions"), *[F.max_by("version_id", _by(m)).alias(f"best_{m}") for m in _COMPARED])
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), rnd(m, 9).alias("value"), F.col(f"best_{m}").alias("best")) for m in _COMPARED])
+    return v.join(best, "model_type").select("model_type", "version_id", "versions", F.explode(values).alias("x")) \
+        .select("model_type", "x.metric", "version_id", "x.value", "versions", (F.col("version_id") == F.col("x.best")).alias("is_best"))
 
 
-@query("deployment_status", """SELECT model_type, count(*) AS versions, arg_max(version_id, CASE WHEN is_active THEN 1 ELSE 0 END) AS active,
-  arg_max(version_id, CASE WHEN is_production THEN 1 ELSE 0 END) AS production FROM model_versions GROUP BY model_type""")
+@query("deployment_status", """SELECT model_type, count(*) AS versions,
+  arg_max(version_id, (created_at, version_id)) FILTER (WHERE is_active) AS active,
+  arg_max(version_id, (created_at, version_id)) FILTER (WHERE is_production) AS production FROM model_versions GROUP BY model_type""")
 def deployment_status(spark, sf):
-    """Per model type: number of versions, active and production version."""
+    """Per model type: number of versions, active and production version (the newest that has the flag, null if none has)."""
     v = MV.model_versions(spark, sf)
-    return v.groupBy("model_type").agg(F.count(F.lit(1)).alias("versions"),
-                                       F.max_by("version_id", F.col("is_active").cast("int")).alias("active"),
-                                       F.max_by("version_id", F.col("is_production").cast("int")).alias("production"))
+    newest = lambda flag: F.max_by("version_id", F.when(F.col(flag), _by("created_at")))
+    return v.groupBy("model_type").agg(F.count(F.lit(1)).alias("versions"), F.when(F.max("is_active"), newest("is_active")).alias("active"),
+                                       F.when(F.max("is_production"), newest("is_production")).alias("production"))
 
 
 def _reasons_sql(th):
