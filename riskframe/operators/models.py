@@ -21,18 +21,27 @@ ESTIMATORS = {
     # L2, balanced weights, 1000 iterations
     "logistic_regression": lambda **kw: LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=kw.get("max_iter", 1000),
-        regParam=kw.get("reg", 0.01), elasticNetParam=0.0),
+        regParam=kw.get("reg", 0.01), elasticNetParam=0.0, standardization=False),
     # 200 trees of depth 15, balanced
     "random_forest": lambda **kw: RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=kw.get("trees", 200),
-        maxDepth=kw.get("depth", 15), seed=42),
+        maxDepth=kw.get("depth", 15), seed=42, maxMemoryInMB=1024),
     # Boosted trees (200 x depth 6, step .1, subsample .8)
     "boosted": lambda **kw: GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=kw.get("trees", 200),
-        maxDepth=kw.get("depth", 6), stepSize=0.1, subsamplingRate=0.8, seed=42),
+        maxDepth=kw.get("depth", 6), stepSize=0.1, subsamplingRate=0.8, seed=42, maxMemoryInMB=1024),
 }
 
 
+#: Rows of a training partition at least: every tree level or gradient step is a job over all partitions.
+TRAIN_ROWS = 20_000
+
+
+def packed(df: DataFrame, n: int) -> DataFrame:
+    """``df`` in fewer partitions, if its ``n`` rows are too few for those it has."""
+    return df.coalesce(-(-n // TRAIN_ROWS) or 1)
+
+
 def build_estimator(kind: str, **kw):
     """Model factory: unknown type raises."""
     if kind not in ESTIMATORS:
@@ -43,10 +52,14 @@ def build_estimator(kind: str, **kw):
 def train(train_df: DataFrame, features: list[str], kind: str, label: str = "Class", **kw) -> PipelineModel:
     """Fit assembler -> standard scaler -> estimator with balanced class weights."""
     x = attach_class_weights(train_df, label).withColumn("label", F.col(label).cast("double"))
+    n = x.count()
+    if kind == "logistic_regression" and "reg" not in kw:
+        # 1 / (C * sum of weights); balanced weights add up to the number of rows
+        kw["reg"] = 1.0 / (kw.pop("C", 1.0) * max(n, 1))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
                             build_estimator(kind, **kw)])
-    return pipe.fit(x)
+    return pipe.fit(packed(x, n))
 
 
 def score(model: PipelineModel, df: DataFrame, id_col: str = "event_id", label: str = "Class") -> DataFrame:
