@@ -41,7 +41,23 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcast threshold, else a shuffled hash/sort-merge join on the modulus key.
     """
     t0 = table(spark, sf_dir, "events").select(F.min(epoch_micros(F.col("ts")))).scalar()
-    return _with_embedding(spark, sf_dir).select(
+    return _txn_columns(_with_embedding(spark, sf_dir), t0)
+
+
+def txn_of(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """The same columns for a stream of event rows; the table's first time and its embeddings are static.
+
+    A stream can't hold a subquery, so the first time and the number of embeddings are
+    read once, as two values.
+    """
+    prepare(spark)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    t0 = table(spark, sf_dir, "events").agg(F.min(epoch_micros(F.col("ts")))).first()[0]
+    return _txn_columns(events.withColumn("_vk", F.col("event_id") % emb.count()).join(emb, F.col("_vk") == F.col("vec_id")), F.lit(t0))
+
+
+def _txn_columns(rows: DataFrame, t0: Column) -> DataFrame:
+    return rows.select(
         "event_id", "ts", "user_id",
         ((epoch_micros(F.col("ts")) - t0) / F.lit(1e6)).alias("Time"),
         *[_v_expr(i) for i in range(1, 29)],
