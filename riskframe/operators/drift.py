@@ -46,12 +46,14 @@ def anomaly_iqr(df: DataFrame, cols: list[str], id_col: str, method: str = "exac
     """Rows outside [q1 - 1.5 iqr, q3 + 1.5 iqr] in any feature, each row once,
     with the number of features out of range.  Quartiles are distributed exact quantiles."""
     q = quantiles(unpivot(df, cols), "feature", "value", {"q1": 0.25, "q3": 0.75}, method=method)
-    m = q.select(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q1", "q3")))).alias("m")).scalar()
-    x = df.withColumn("_q", m)
-    outs = [((F.col(c) < F.col("_q")[c]["q1"] - 1.5 * (F.col("_q")[c]["q3"] - F.col("_q")[c]["q1"]))
-             | (F.col(c) > F.col("_q")[c]["q3"] + 1.5 * (F.col("_q")[c]["q3"] - F.col("_q")[c]["q1"]))).cast("int")
-            for c in cols]
-    return x.select(id_col, sum(outs[1:], outs[0]).alias("n_features_out")).filter(F.col("n_features_out") > 0)
+    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).alias("i")
+    iqr = F.col("q3") - F.col("q1")
+    bounds = q.select(place, (F.col("q1") - 1.5 * iqr).alias("low"), (F.col("q3") + 1.5 * iqr).alias("high")) \
+        .agg(F.sort_array(F.collect_list(F.struct("i", "low", "high")))).scalar()
+    # The bounds stand once, as an array beside the array of values.
+    out = F.filter(F.arrays_zip(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"), F.col("_bounds").alias("b")),
+                   lambda e: (e["v"] < e["b"]["low"]) | (e["v"] > e["b"]["high"]))
+    return df.withColumn("_bounds", bounds).select(id_col, F.size(out).alias("n_features_out")).filter(F.col("n_features_out") > 0)
 
 
 def importance_drift(current: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import codes, safe_div, unpivot
@@ -64,23 +66,54 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
         F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("r")).alias("corr"))
 
 
+def _pair_moments(width: int):
+    """Per task and pair of columns (i, j), over the rows that hold both: their number, the two means, i's squared and both's crossed deviations."""
+    def run(batches):
+        n, mean, square, cross = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            there = np.stack([np.asarray(c.is_valid()) for c in batch.columns], 1).astype(float)
+            x = np.stack([np.asarray(c.fill_null(0.0), dtype=float) for c in batch.columns], 1)
+            shift = x.sum(0) / np.maximum(there.sum(0), 1)
+            x = (x - shift) * there
+            m = there.T @ there
+            some = np.maximum(m, 1)
+            sums = x.T @ there
+            new_mean = sums / some
+            new_square = (x * x).T @ there - sums * new_mean
+            new_cross = x.T @ x - sums * sums.T / some
+            new_mean = new_mean + shift[:, None]
+            both = np.maximum(n + m, 1)
+            apart = new_mean - mean
+            weight = n * m / both
+            square += new_square + weight * apart * apart
+            cross += new_cross + weight * apart * apart.T
+            mean += apart * m / both
+            n += m
+        i, j = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(v) for v in (n[i, j], mean[i, j], mean[j, i], square[i, j], square[j, i], cross[i, j])]],
+                                         ["i", "j", "n", "mi", "mj", "si", "sj", "c"])
+    return run
+
+
 def pairwise_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """(i, j, r) for all ordered pairs of columns by number; each pair over the rows where
-    both are present, null where either is constant there.
+    both are present, null where either is constant there or no row holds both.
 
-    A row is laid out once per column, so the aggregate holds the partners' moments of one
-    column a group, combined map-side into k rows of k values.
+    A task adds up its rows by matrix products and sends one row per pair; the tasks' means
+    and deviations are then merged pair by pair.
     """
+    k = len(cols)
     x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    each = x.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in range(len(cols))])).alias("e"), "*")
-    one = F.col("e.x")
-
-    def corr(j: int):
-        other = F.col(f"x{j}")
-        spread = F.var_pop(F.when(other.isNotNull(), one)) * F.var_pop(F.when(one.isNotNull(), other))
-        return F.try_divide(F.covar_pop(one, other), F.sqrt(spread))
-    wide = each.groupBy(F.col("e.i").alias("i")).agg(F.array(*[corr(j) for j in range(len(cols))]).alias("r"))
-    return wide.select("i", F.posexplode("r").alias("j", "r"))
+    parts = x.mapInArrow(_pair_moments(k), "i int, j int, n double, mi double, mj double, si double, sj double, c double")
+    pair = Window.partitionBy("i", "j")
+    whole = lambda m: F.sum(F.col("n") * F.col(m)).over(pair) / F.sum("n").over(pair)
+    near = parts.select("*", (F.col("mi") - whole("mi")).alias("di"), (F.col("mj") - whole("mj")).alias("dj"))
+    grown = lambda s, a, b: F.sum(F.col(s) + F.col("n") * F.col(a) * F.col(b))
+    sums = near.groupBy("i", "j").agg(grown("si", "di", "di").alias("si"), grown("sj", "dj", "dj").alias("sj"), grown("c", "di", "dj").alias("c"))
+    grid = df.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
+    return grid.join(sums, ["i", "j"], "left").select("i", "j", F.try_divide("c", F.sqrt(F.col("si") * F.col("sj"))).alias("r"))
 
 
 def baseline_stats(df: DataFrame, features: list[str], quantile_method: str = "exact") -> DataFrame:
