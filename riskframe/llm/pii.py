@@ -126,15 +126,16 @@ def _described(text: Column, found: Column, kind: str, base: bool) -> Column:
         span = x["span"]
         before = F.substring(text, F.greatest(x["start"] - F.lit(BEFORE - 1), F.lit(1)).cast("int"), F.least(F.lit(BEFORE), x["start"]).cast("int"))
         after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(1))
-        strict = F.lit(True) if base else span.rlike(STRICT[kind])
+        strict = F.lit(None).cast("boolean") if base else span.rlike(STRICT[kind])      # a base span says nothing about the wider form
         n = F.length(span)
         features = [F.least(F.floor(F.log2(n + F.lit(1))), F.lit(8)).cast("string"), _share(F.length(_digits(span)), n),
                     _share(F.length(F.regexp_replace(span, "[A-Za-z0-9]", "")), n),
                     F.when(before.rlike(r"[A-Za-z0-9]$"), "w").when(before.rlike(r"\s$") | (before == ""), "s").otherwise("m"),
                     F.when(after.rlike(r"^[A-Za-z0-9]"), "w").when(after.rlike(r"^\s") | (after == ""), "s").otherwise("m"),
                     F.least(F.size(F.split(span, r"[^A-Za-z0-9]+")), F.lit(9)).cast("string")]
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"),
-                        F.array(strict, span.rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind])).alias("votes"),
+        votes = [strict, span.rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind])]
+        features += [F.coalesce(v.cast("string"), F.lit("none")) for v in votes]
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes).alias("votes"),
                         F.array(*[F.concat(F.lit(f"{kind}/{i}/"), f) for i, f in enumerate(features)]).alias("features"))
     return F.transform(found, one)
 
@@ -154,34 +155,39 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def _posterior(votes, state: Column) -> Column:
-    """Probability that a span with these votes is real."""
+    """Probability that a candidate with these votes is real; a labeler that abstains (null) says nothing."""
     yes, no = state["p"], 1 - state["p"]
     for i in range(len(LABELERS)):
-        yes = yes * F.when(votes(i), state[f"a{i}"]).otherwise(1 - state[f"a{i}"])
-        no = no * F.when(votes(i), state[f"b{i}"]).otherwise(1 - state[f"b{i}"])
+        yes = yes * F.when(votes(i).isNull(), 1.0).when(votes(i), state[f"a{i}"]).otherwise(1 - state[f"a{i}"])
+        no = no * F.when(votes(i).isNull(), 1.0).when(votes(i), state[f"b{i}"]).otherwise(1 - state[f"b{i}"])
     return yes / (yes + no)
 
 
 def reliabilities(found: DataFrame) -> DataFrame:
-    """(kind, state): per kind, the share p of real spans and each labeler's rates of votes for real (a) and other (b) spans.
+    """(kind, state): per kind, the share p of real candidates and each labeler's rates of votes for real (a) and other (b) spans.
 
-    Expectation-maximisation over the counted vote patterns, at most eight a kind, all
-    rounds in one expression.
+    Expectation-maximisation over the counted vote patterns, at most twelve a kind, all
+    rounds in one expression.  Base spans are real in every round, so that the classes
+    can't change places; they count for the rates and not for the share.
     """
-    patterns = found.select(F.explode("found").alias("x")).groupBy(F.col("x.kind").alias("kind"), F.col("x.votes").alias("votes")) \
+    patterns = found.select(F.explode("found").alias("x")).groupBy(F.col("x.kind").alias("kind"), F.col("x.base").alias("base"), F.col("x.votes").alias("votes")) \
         .agg(F.count(F.lit(1)).cast("double").alias("n")) \
-        .groupBy("kind").agg(F.collect_list(F.struct("votes", "n")).alias("patterns"))
+        .groupBy("kind").agg(F.collect_list(F.struct("base", "votes", "n")).alias("patterns"))
 
     def fields(p, a, b):
         return F.struct(p.alias("p"), *[c.alias(f"a{i}") for i, c in enumerate(a)], *[c.alias(f"b{i}") for i, c in enumerate(b)])
 
     def step(state, _):
-        real = lambda x: x["n"] * _posterior(lambda i: x["votes"][i], state)
+        real = lambda x: F.when(x["base"], x["n"]).otherwise(x["n"] * _posterior(lambda i: x["votes"][i], state))
         total = lambda f: F.aggregate("patterns", F.lit(0.0), lambda s, x: s + f(x))
-        n, n1 = total(lambda x: x["n"]), total(real)
-        voted = [(total(lambda x, i=i: F.when(x["votes"][i], real(x)).otherwise(0.0)),
-                  total(lambda x, i=i: F.when(x["votes"][i], x["n"] - real(x)).otherwise(0.0))) for i in range(len(LABELERS))]
-        return fields((n1 + 1) / (n + 2), [(v + 1) / (n1 + 2) for v, _ in voted], [(v + 1) / (n - n1 + 2) for _, v in voted])
+        n, n1 = total(lambda x: F.when(x["base"], 0.0).otherwise(x["n"])), total(lambda x: F.when(x["base"], 0.0).otherwise(real(x)))
+        voted = []
+        for i in range(len(LABELERS)):
+            given = lambda f, i=i: total(lambda x: F.when(x["votes"][i].isNull(), 0.0).otherwise(f(x)))
+            says = lambda f, i=i: total(lambda x: F.when(x["votes"][i], f(x)).otherwise(0.0))
+            other = lambda x: x["n"] - real(x)
+            voted.append(((says(real) + 1) / (given(real) + 2), (says(other) + 1) / (given(other) + 2)))
+        return fields((n1 + 1) / (n + 2), [a for a, _ in voted], [b for _, b in voted])
     start = fields(F.lit(0.5), [F.lit(0.8)] * len(LABELERS), [F.lit(0.2)] * len(LABELERS))
     return patterns.select("kind", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("state"))
 
@@ -189,10 +195,12 @@ def reliabilities(found: DataFrame) -> DataFrame:
 def classifier(found: DataFrame, states: DataFrame) -> Column:
     """Soft counts of real and other spans by feature value, as a scalar map of bounded size.
 
-    The posteriors are the soft labels of a naive Bayes model over the spans' features.
+    The posteriors are the soft labels of a naive Bayes model over the candidates' features
+    and votes.  Base spans look different from any candidate, so they teach the labelers'
+    rates only.
     """
     state = states.agg(F.map_from_entries(F.collect_list(F.struct("kind", "state")))).scalar()
-    soft = found.select(F.explode("found").alias("x")).select("x.*").withColumn("states", state).withColumn("s", F.element_at("states", F.col("kind"))) \
+    soft = found.select(F.explode(F.filter("found", lambda x: ~x["base"])).alias("x")).select("x.*").withColumn("states", state).withColumn("s", F.element_at("states", F.col("kind"))) \
         .withColumn("real", _posterior(lambda i: F.col("votes")[i], F.col("s")))
     per = soft.select(F.explode(F.concat(F.array(F.concat(F.col("kind"), F.lit("/"))), "features")).alias("value"), "real") \
         .groupBy("value").agg(F.sum("real").alias("yes"), F.sum(1 - F.col("real")).alias("no"))

@@ -65,6 +65,22 @@ def test_added_spans(spark):
     assert all(got[100 + i].spans == "" for i in range(5))
 
 
+def test_base_spans_teach_and_decoys_stay_out(spark):
+    """Many base phones without context, real local numbers with it, and as many decoys: the classes don't change places."""
+    rows = [(i, f"see +1 212 555 {1000 + i} there") for i in range(300)]
+    rows += [(1000 + i, f"call me on phone 212-555-{2000 + i} today") for i in range(80)]
+    rows += [(2000 + i, f"lot 113-142-{3000 + i} part") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.candidates(df)
+    state = next(r.state for r in pii.reliabilities(found).collect() if r.kind == "phone")
+    assert state.a0 > 0.9 and state.b0 < 0.1 and 0.4 < state.p < 0.6
+    got = {r.doc_id: r for r in pii.digest(pii.detect(df)).collect()}
+    assert all(got[i].n_phone == 1 and got[i].spans.count("phone") == 1 for i in range(300))
+    caught = sum("phone" in got[1000 + i].spans for i in range(80))
+    wrong = sum("phone" in got[2000 + i].spans for i in range(80))
+    assert caught / 80 > 0.95 and wrong / 80 < 0.05
+
+
 def test_reliabilities_match_plain_em(spark):
     import itertools
     votes = {v: 1 + 10 * sum(v) ** 3 + 37 * (v[0] == v[1]) for v in itertools.product((False, True), repeat=3)}
