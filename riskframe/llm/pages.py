@@ -235,22 +235,19 @@ def unshared(lines: list[str], other: list[str]) -> list[bool]:
 
 
 def main_text(lines: list[tuple[str, bool]], other: list[str] | None) -> str:
-    """The page's text: the lines its neighbour does not share.
+    """The page's text: its marked article, and of the other lines those its neighbour does not share.
 
-    A neighbour that shares more than half of the page's characters and of its marked ones
-    is a copy and says nothing about the template: marked lines stay then, shared or not.
-    Without a neighbour the marks alone decide.  A page without article marks whose every
-    line is shared, or that has no neighbour, keeps its lines.
+    Lines inside article marks stay, also where the neighbour holds them too (a licence
+    line, a short paragraph): two articles may share a line.  The neighbour's longest
+    common subsequence decides on all other lines.  Without a neighbour the marks alone
+    decide.  A page without article marks whose every line is shared, or that has no
+    neighbour, keeps its lines.
     """
     texts = [t for t, _ in lines]
     marked = [t for t, article in lines if article]
     if other is None:
         return "\n".join(marked or texts)
-    keep = unshared(texts, other)
-    if marked:
-        gone = [(len(t), article) for (t, article), k in zip(lines, keep) if not k]
-        if 2 * sum(n for n, _ in gone) > sum(map(len, texts)) and 2 * sum(n for n, article in gone if article) > sum(map(len, marked)):
-            keep = [k or article for k, (_, article) in zip(keep, lines)]
+    keep = [k or article for k, (_, article) in zip(unshared(texts, other), lines)]
     return "\n".join(t for t, k in zip(texts, keep) if k) if any(keep) else "\n".join(texts)
 
 

@@ -74,7 +74,7 @@ def test_unmarked_pages_lose_what_neighbours_share(spark):
 
 
 def test_neighbours_decide_on_marked_pages_too(spark):
-    """Shared lines go inside an article, unshared ones outside stay; an article of comments is none."""
+    """An article's lines stay, shared or not; shared ones outside go, unshared ones stay; an article of comments is none."""
     html = lambda i, kind: f"<body><div>Home</div><div>By {i}</div><{kind}><p>Story {i} {'s' * 40}</p><p>Join us</p></{kind}></body>"
     said = lambda i: f"<body><div>Home</div><div>Story {i}</div><article class='comment'><p>Nice {i}</p></article><article id='comment-{i}'>Bad {i}</article></body>"
     copy = lambda i: f"<body><div>Home</div><article class='post comments-open'><p>{'a' * 50}</p><p>{'b' * 50}</p><p>Edited {i}</p></article></body>"
@@ -84,13 +84,21 @@ def test_neighbours_decide_on_marked_pages_too(spark):
         + [(40, "http://e.com/", html(0, "article"))]
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(5):
-        assert got[i] == f"By {i}\nStory {i} {'s' * 40}"
+        assert got[i] == f"By {i}\nStory {i} {'s' * 40}\nJoin us"
         assert got[10 + i] == f"Story {i}"
         assert got[20 + i] == f"{'a' * 50}\n{'b' * 50}\nEdited {i}"
-        assert got[30 + i] == f"Story {i} {'s' * 40}"
+        assert got[30 + i] == f"Buy now\nStory {i} {'s' * 40}"
     assert got[40] == f"Story 0 {'s' * 40}\nJoin us"
 
 
+def test_articles_that_share_lines_stay_whole(spark):
+    """Neighbours share a licence line, a title and a short paragraph; each keeps its own."""
+    body = lambda i: ["Same title", f"Text {i} {'w' * (i * 7 + 1)}", "Les.", "Text under a free licence."]
+    html = lambda i: "<body><div>Home</div><main><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></main><div>Imprint</div></body>".format(*body(i))
+    df = spark.createDataFrame([(i, f"http://h.org/a/{i:02}", html(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {i: "\n".join(body(i)) for i in range(12)}
+
+
 def brute_neighbours(rows):
     """id -> (text, n_shared) by one pass over all pages in order."""
     out, order = {}, sorted(rows, key=lambda r: (r[1].split("/")[2], r[1].split("/", 3)[3], r[0]))
