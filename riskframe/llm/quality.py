@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from riskframe.llm.common import cut, texts
+from riskframe.llm.common import cut, texts, unused
 
 #: Buckets of words, word pairs and shape pairs.
 BUCKETS = (1 << 15, 1 << 15, 1 << 12)
@@ -236,6 +236,6 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Rows are judged one by one as in ``classify``, in a pass without a shuffle.
     """
     _, edge, ratio = sample(docs, labels, **options)
-    name = "_quality_log_weight"
+    name = unused("_quality_log_weight", docs)
     return score(docs, ratio, out=name) \
         .where(F.col(name) + gumbel(F.col("doc_id").cast("long")) >= F.lit(edge)).drop(name)

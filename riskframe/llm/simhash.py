@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import cut, texts
+from riskframe.llm.common import cut, texts, unused
 from riskframe.llm.graph import components
 
 SHINGLE = 3
@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) whose doc_id is the smallest of their group; null ids stay."""
+    own, own_hash = unused("_id", docs), unused("_hash", docs)
     losers = _groups(docs, shingle, max_bits).where("component_id < doc_id") \
-        .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+        .select(F.col("doc_id").alias(own), F.col("hash").alias(own_hash)).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(losers, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    return docs.join(losers, (docs["doc_id"].cast("long") == F.col(own)) & (F.xxhash64(text) == F.col(own_hash)), "left_anti")

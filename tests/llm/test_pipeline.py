@@ -60,3 +60,15 @@ def test_odd_rows_pass_every_stage(spark):
             now = lines.cut(stage(spark, now, SF), "test")
         assert set(now.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert simhash.keep_one(docs).where("doc_id = 3").count() == 3
+
+
+def test_stages_take_columns_with_their_own_names(spark):
+    """The helpers' column names, in any case, are just more columns of the input."""
+    from pyspark.sql import functions as F
+
+    from riskframe.llm import lines, quality, simhash
+    rows = [(i, f"some plain words number {i} stand here\nand a second line", i, "h", "g", 0.5) for i in range(12)] + [(50, "some plain words number 3 stand here\nand a second line", 1, "h", "g", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash string, _GONE string, _quality_log_weight double")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    for out in (simhash.keep_one(df), lines.clean(df), quality.keep(df, labels)):
+        assert out.columns == df.columns and out.collect()
