@@ -1,5 +1,5 @@
 """Catalog: Spark ML training, tuning, scoring, explanation and clustering
-(T01-T03, T05, T06, T09, T14-T17, S10, X02, E09, E16)."""
+(T01-T03, T05, T06, T09, T14-T18, S10, X02, X08, E09, E16)."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from riskframe.functions.dims import FEATURES, V_NAMES
-from riskframe.operators import align, ensemble, mapper, persist, shapley, trees
+from riskframe.operators import align, bounds, ensemble, mapper, persist, serving, shapley, trees
+from riskframe.operators import confidence as C
 from riskframe.operators import features as fe
 from riskframe.operators import metrics as M
 from riskframe.operators import models as ML
 from riskframe.operators import sampling
 from riskframe.operators.neighbours import written
+from riskframe.plans import q_confidence
 from riskframe.plans.catalog import query
 from riskframe.sources import views
 
@@ -256,3 +258,34 @@ def cluster_transactions(spark, sf):
     assigned = model.transform(t).select("event_id", "Amount", "Class", "cluster")
     labels = fe.label_clusters(assigned)
     return ML.cluster_assign(model, t, labels).select("event_id", "cluster", "merchant_category")
+
+
+@query("cluster_assign")
+def cluster_assign(spark, sf):
+    """Every transaction assigned by the stored cluster model and its stored category labels."""
+    cols = ["Amount", "Time", "V1", "V2", "V3", "V4", "V5"]
+    t = views.txn(spark, sf)
+    model = persist.stored(spark, sf, "clusters", "kmeans", cols, lambda: ML.cluster_transactions(t))
+    labels = written(fe.label_clusters(model.transform(t).select("Amount", "Class", "cluster")), "cluster-labels")
+    return ML.cluster_assign(model, t, labels).select("event_id", "cluster", "merchant_category")
+
+
+@query("score_requests")
+def score_requests(spark, sf):
+    """Every request end to end; a rejected one has its errors and no score."""
+    history = C.historical_confidence(q_confidence.history(spark, sf))
+    results, errors = serving.score_requests(views.requests(spark, sf), {"forest": _mapper(spark, sf)}, bounds.feature_bounds(views.txn(spark, sf)),
+                                             {"logistic_regression": _model(spark, sf, "logistic_regression")}, history)
+    return results.unionByName(errors, allowMissingColumns=True)
+
+
+@query("explanation_batch")
+def explanation_batch(spark, sf):
+    """Every transaction with prediction, probability, risk score and attributions (X04 with the saved model's absolute coefficients)."""
+    model = _model(spark, sf, "logistic_regression")
+    weights = dict(zip(FEATURES, (abs(float(v)) for v in model.stages[-1].coefficients.toArray())))
+    t = align.align_features(views.txn(spark, sf), FEATURES, keep=["event_id"])
+    out = model.transform(t).withColumn("p", vector_to_array("probability")[1])
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(weights[c]) * vector_to_array("features")[i]).alias("contribution")) for i, c in enumerate(FEATURES)])
+    return out.select("event_id", F.lit("logistic_regression").alias("model"), F.col("prediction").cast("int").alias("prediction"), F.col("p").alias("probability"),
+                      (F.col("p") * 100).alias("risk_score"), F.lit(0.5).alias("base"), parts.alias("attributions"))

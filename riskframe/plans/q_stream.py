@@ -1,13 +1,18 @@
-"""Catalog: A/B tests, soft vote, streaming queries (G06, G07, T04, ST01-ST07, ST09)."""
+"""Catalog: A/B tests, soft vote, streaming queries (G06, G07, T04, ST01-ST09)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import rnd
 from riskframe.operators import abtest as AB
 from riskframe.operators import rules as R
 from riskframe.plans.catalog import query
+from riskframe.plans.q_audit import _HEADER_COLS
+from riskframe.session import checkpoint_dir
+from riskframe.sources import metadata_views as MV
 from riskframe.sources import views
 from riskframe.sources.tables import table
 from riskframe.operators import registry as G
@@ -79,6 +84,14 @@ def stream_ab(spark, sf):
     return S.run_to_table(S.stream_ab(S.event_stream(spark, sf)), mode="append")
 
 
+@query("stream_audit", "SELECT " + ", ".join(f'"{c}"' for c in _HEADER_COLS) + " FROM mapping_audit")
+def stream_audit(spark, sf):
+    """ST08: arriving operations appended to the audit tables, batch by batch; the headers that they hold."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/audit-{uuid.uuid4().hex}"
+    S.run_audit(MV.operations_of(views.request_scores_of(S.event_stream(spark, sf))), root)
+    return spark.read.parquet(f"{root}/audit/mapping_audit").select(*_HEADER_COLS)
+
+
 @query("stream_validate", f"SELECT request_id, {R.ALL_ERRORS} AS errors, ({R.ALL_ERRORS}) IS NOT NULL AS quarantined FROM requests")
 def stream_validate(spark, sf):
     """ST01: validation codes on the event stream, equal to the batch rules; accepted and quarantined requests from their own sinks."""

@@ -19,7 +19,11 @@ MAPPERS = ["random_forest", "xgboost", "ensemble"]
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mapping operation per request: status error when amount <= 0, otherwise a result
     (latency = event value, confidence = 1 - p/2, prediction, probability)."""
-    j = views.request_scores(spark, sf_dir)
+    return operations_of(views.request_scores(spark, sf_dir))
+
+
+def operations_of(j: DataFrame) -> DataFrame:
+    """As ``operations``, of any scored requests, arriving ones too."""
     err = F.col("transaction_amount") <= 0
     return j.select(
         F.md5(F.col("request_id").cast("string")).alias("audit_id"), "request_id", "ts",

@@ -119,7 +119,12 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with Class, value, p and pred of the same event: one scan of events."""
     prepare(spark)
-    return table(spark, sf_dir, "events").select(*request_columns(), _class(), "value", "event_id") \
+    return request_scores_of(table(spark, sf_dir, "events"))
+
+
+def request_scores_of(events: DataFrame) -> DataFrame:
+    """As ``request_scores``, of any events, arriving ones too: every column comes from its own row."""
+    return events.select(*request_columns(), _class(), "value", "event_id") \
         .withColumn("p", _score(7919)).withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("event_id")
 
 

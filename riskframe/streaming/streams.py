@@ -109,6 +109,12 @@ def run_to_table(df: DataFrame, mode: str = "append", name: str | None = None) -
     return spark.read.schema(df.schema).parquet(f"{root}/out/{max(seen)}") if seen else spark.createDataFrame([], df.schema)
 
 
+def run_audit(ops: DataFrame, root: str) -> None:
+    """ST08: drive a stream of operations into the audit tables under ``root``, each batch once."""
+    ops.writeStream.option("checkpointLocation", f"{root.rstrip('/')}/state").trigger(availableNow=True) \
+        .foreachBatch(lambda batch, batch_id: audit_sink(batch, batch_id, f"{root.rstrip('/')}/audit")).start().awaitTermination()
+
+
 def audit_sink(batch: DataFrame, batch_id: int, root: str) -> None:
     """ST08: foreachBatch writer appending one batch of operations to the audit tables; the
     batch id makes the write idempotent (a replayed batch overwrites its own folder)."""
