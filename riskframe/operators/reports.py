@@ -1,5 +1,5 @@
 """Reports, alerts and written results over finished evaluations and registries
-(A07, D08, D11, G04, G10, M10, M11, S03, S09, S11, S12, X04, X06, X09)."""
+(A07, D08, D11, G04, G10, M10, M11, S03, S09, S11, S12, X04, X06, X07, X09)."""
 
 from __future__ import annotations
 
@@ -123,6 +123,26 @@ def simple_attribution(df: DataFrame, features: list[str], importance: dict[str,
     return df.select(id_col, F.explode(rows).alias("a")).select(id_col, "a.*", F.lit(0.5).alias("base"))
 
 
+def compare_explainers(df: DataFrame, features: list[str], first: dict[str, Column], second: dict[str, Column], id_col: str = "event_id") -> DataFrame:
+    """(id_col, feature, first, second, first_rank, second_rank, agreement), two explanations of every row side by side.
+
+    Ranks go by absolute value (six places, ties by name); ``agreement`` is their rank
+    correlation over the row's features.  Row-local: both orders are sorted arrays.
+    """
+    n = len(features)
+    both = F.array(*[F.struct(F.lit(f).alias("feature"), first[f].alias("first"), second[f].alias("second")) for f in features])
+
+    def order(side: str) -> Column:
+        return F.transform(F.array_sort(F.transform("_b", lambda e: F.struct((-F.round(F.abs(e[side]), 6)).alias("k"), e["feature"].alias("feature")))), lambda e: e["feature"])
+    x = df.select(id_col, both.alias("_b")).select("*", order("first").alias("_1"), order("second").alias("_2"))
+    ranked = F.transform("_b", lambda e: F.struct(e["feature"].alias("feature"), e["first"].alias("first"), e["second"].alias("second"),
+                                                  F.array_position("_1", e["feature"]).alias("first_rank"), F.array_position("_2", e["feature"]).alias("second_rank")))
+    x = x.select(id_col, ranked.alias("_r"))
+    apart = F.aggregate("_r", F.lit(0).cast("long"), lambda a, e: a + (e["first_rank"] - e["second_rank"]) * (e["first_rank"] - e["second_rank"]))
+    agreement = 1 - F.lit(6.0) * apart / F.lit(float(n * (n * n - 1))) if n > 1 else F.lit(1.0)
+    return x.select(id_col, agreement.alias("agreement"), F.explode("_r").alias("r")).select(id_col, "r.*", "agreement")
+
+
 def importance_comparison(importances: DataFrame, models: list[str], n: int = 15) -> DataFrame:
     """The ``n`` features of largest mean importance, a column per model (absent: 0); ties by name.
 

@@ -1,5 +1,5 @@
 """Catalog: Spark ML training, tuning, scoring, explanation and clustering
-(T01-T03, T05, T06, T09, T14-T18, S10, X02, X08, E09, E16)."""
+(T01-T03, T05, T06, T08, T09, T14-T18, S10, X02, X03, X08, E09, E16)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from riskframe.functions.dims import FEATURES, V_NAMES
-from riskframe.operators import align, bounds, ensemble, mapper, persist, serving, shapley, trees
+from riskframe.operators import align, bounds, ensemble, mapper, persist, serving, shapley, surrogate, trees
 from riskframe.operators import confidence as C
 from riskframe.operators import features as fe
 from riskframe.operators import metrics as M
@@ -289,3 +289,19 @@ def explanation_batch(spark, sf):
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(weights[c]) * vector_to_array("features")[i]).alias("contribution")) for i, c in enumerate(FEATURES)])
     return out.select("event_id", F.lit("logistic_regression").alias("model"), F.col("prediction").cast("int").alias("prediction"), F.col("p").alias("probability"),
                       (F.col("p") * 100).alias("risk_score"), F.lit(0.5).alias("base"), parts.alias("attributions"))
+
+
+@query("train_all")
+def train_all(spark, sf):
+    """The stored logistic, forest and boosted models (T01-T03) and their mean score, on the test split."""
+    train, test = _split(spark, sf)
+    stored = lambda kind: lambda df: lambda rows: ML.score(_model(spark, sf, kind, df), rows)
+    return ensemble.train_all(train.drop("split"), test.drop("split"), {kind: stored(kind) for kind in MODELS}, "Class", "event_id")
+
+
+@query("local_surrogate")
+def local_surrogate(spark, sf):
+    """Linear surrogate of the saved logistic model around every transaction."""
+    by = PipelineModel(_model(spark, sf, "logistic_regression").stages[1:])
+    t = written(views.txn(spark, sf).select("event_id", *FEATURES), "txn")
+    return surrogate.local_surrogate(t, FEATURES, lambda df: by.transform(df).withColumn("p", vector_to_array("probability")[1]))

@@ -1,5 +1,5 @@
 """Catalog: reports, alerts and written results (A07, D08, D11, G04, G10, J04, J07, M10, M11,
-S03, S09, S11, S12, X04, X06, X09)."""
+S03, S09, S11, S12, U05, X04, X06, X07, X09)."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from riskframe.operators import metrics as M
 from riskframe.operators import reports as P
 from riskframe.operators import sampling
 from riskframe.plans import q_quality, q_sampling  # noqa: F401  (their oracles are parts of those below)
+from riskframe.operators.align import REQUIRED_FIELDS
+from riskframe.plans.q_align import raw_requests
 from riskframe.plans.catalog import ORACLE, QUERIES, query
 from riskframe.plans.q_explain import _ATTR_SQL, _Q, COEF, attributions
 from riskframe.plans.q_metrics import _EVAL_SQL
@@ -220,3 +222,25 @@ def mapping_report(spark, sf):
     for p in parts[1:]:
         out = out.join(p, "request_id")
     return out
+
+
+@query("compare_explainers", f"""WITH {_ATTR_SQL}, simple AS ({" UNION ALL ".join(f"SELECT event_id, '{c}' AS feature, {abs(COEF[c])!r}::DOUBLE * {_Q(c)} AS contribution FROM txn" for c in FEATURES)}),
+r AS (SELECT event_id, feature, attribution AS a, contribution AS b, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(attribution), 6) DESC, feature) AS first_rank,
+  row_number() OVER (PARTITION BY event_id ORDER BY round(abs(contribution), 6) DESC, feature) AS second_rank FROM att JOIN simple USING (event_id, feature))
+SELECT event_id, feature, round(a, 3) + 0.0 AS first, round(b, 3) + 0.0 AS second, first_rank, second_rank,
+  round(1 - 6.0 * sum((first_rank - second_rank) * (first_rank - second_rank)) OVER (PARTITION BY event_id) / {30 * 899}.0, 6) AS agreement FROM r""")
+def compare_explainers(spark, sf):
+    """Linear attributions (X01) against importance times value (X04) on every transaction."""
+    t = views.txn(spark, sf)
+    x = t.withColumn("_mu", t.select(F.struct(*[F.avg(c).alias(c) for c in FEATURES])).scalar())
+    r = P.compare_explainers(x, FEATURES, {c: F.lit(COEF[c]) * (F.col(c) - F.col("_mu")[c]) for c in FEATURES}, {c: F.lit(abs(COEF[c])) * F.col(c) for c in FEATURES})
+    return r.withColumns({"first": rnd("first", 3) + 0.0, "second": rnd("second", 3) + 0.0, "agreement": rnd("agreement")})
+
+
+@query("missing_features", """SELECT request_id, unnest(list_filter([CASE WHEN request_id % 11 = 0 THEN 'merchant_category' END,
+  CASE WHEN request_id % 13 = 0 THEN 'hour_of_day' END, CASE WHEN request_id % 17 = 0 THEN 'spending_pattern' END], lambda v: v IS NOT NULL)) AS feature FROM requests""")
+def missing_features(spark, sf):
+    """The expected fields that a request's body does not have, one row each."""
+    body = raw_requests(spark, sf)
+    keys = F.coalesce(F.expr("json_object_keys(body)"), F.array().cast("array<string>"))
+    return body.select("request_id", F.explode(F.array_except(F.array(*[F.lit(c) for c in REQUIRED_FIELDS]), keys)).alias("feature"))

@@ -13,7 +13,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from riskframe.functions.dims import V_NAMES
-from riskframe.operators import ensemble, mapper, metrics, persist, sampling, shapley, trees
+from riskframe.operators import ensemble, mapper, metrics, persist, sampling, shapley, surrogate, trees
 
 
 def mapping_frame(spark, n=300):
@@ -163,3 +163,39 @@ def test_shapley_sums_and_equals_the_exact_values(spark):
     for r in shapley.shapley(df, features, score, ground, permutations=5).collect():
         x = next(row[1:] for row in rows if row[0] == r.event_id)
         assert abs(r.base + sum(r.contributions) - r.prediction) < 1e-9 and abs(r.prediction - f(*x)) < 1e-9
+
+
+def test_local_surrogate_of_a_linear_score(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 3), 2.0, None if i == 7 else rng.random()) for i in range(40)] + [(3, 9.0, 1.0, 2.0, 0.5)]
+    df = spark.createDataFrame(rows, "event_id long, a double, b double, c double, d double").repartition(3)
+    names, weight = ["a", "b", "c", "d"], [0.5, -0.25, 4.0, 0.0]
+    linear = lambda f: f.withColumn("p", sum((vector_to_array("raw")[i] * w for i, w in enumerate(weight)), F.lit(1.0)))
+    got = surrogate.local_surrogate(df, names, linear, samples=24).collect()
+    assert len(got) == len(rows)
+    scale = [float(np.std([r[i + 1] or 0.0 for r in rows])) for i in range(4)]
+    want = sorted((r[0], round(1 + sum(w * (v or 0.0) for w, v in zip(weight, r[1:])), 6)) for r in rows)
+    assert sorted((r.event_id, round(r.prediction, 6)) for r in got) == want
+    for r in got:
+        assert np.allclose(r.coefficients, [w * s for w, s in zip(weight, scale)], atol=1e-5) and abs(r.intercept - r.prediction) < 1e-5 and r.r2 > 0.999999
+    still = surrogate.local_surrogate(df, names, lambda f: f.withColumn("p", F.lit(0.25)), samples=24).collect()
+    assert all(abs(r.intercept - 0.25) < 1e-6 and np.allclose(r.coefficients, 0, atol=1e-6) and math.isnan(r.r2) for r in still)
+    assert surrogate.local_surrogate(df.where("false"), names, linear, samples=24).count() == 0
+
+
+def test_train_all_skips_failures(spark):
+    df = spark.createDataFrame([(i, int(i % 4 == 0), (i * 37 % 100) / 100) for i in range(200)], "event_id long, Class int, x double")
+
+    def broken(_):
+        raise RuntimeError("no such model")
+    members = {"same": lambda _: lambda rows: rows.withColumn("p", F.col("x")), "broken": broken,
+               "oracle": lambda _: lambda rows: rows.withColumn("p", F.col("Class").cast("double"))}
+    got = {r.model: r for r in ensemble.train_all(df, df, members, "Class", "event_id").collect()}
+    assert set(got) == {"same", "broken", "oracle", "ensemble"}
+    assert got["broken"].error.startswith("RuntimeError") and got["broken"].average_precision is None
+    # the mean of a perfect and any other score is perfect here as well: of equals the first name is best
+    assert got["oracle"].average_precision == got["ensemble"].average_precision == 1.0 and got["same"].n == 200
+    assert [m for m, r in got.items() if r.is_best] == ["ensemble"]
+    alone = ensemble.train_all(df, df, {"same": members["same"]}, "Class", "event_id").collect()
+    assert [r.model for r in alone] == ["same"] and alone[0].is_best
+    assert [r.model for r in ensemble.train_all(df, df, {"broken": broken}, "Class", "event_id").collect()] == ["broken"]
