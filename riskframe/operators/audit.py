@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.ranking import global_row_number, numeric_bucket
@@ -95,21 +95,29 @@ def audit_export(header: DataFrame, details: DataFrame, start, end, n: int = 100
     return audit_summary(h, details)
 
 
-def export(df: DataFrame, path: str, fmt: str) -> None:
-    """S08 sink: csv (header) or json; an unknown format raises; empty results write nothing."""
+#: Microseconds survive the text formats.
+_TEXT_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def export(df: DataFrame, path: str, fmt: str) -> bool:
+    """S06 / S08 sink: csv (header) or json; an unknown format raises; an empty result writes nothing and gives False."""
     if fmt not in ("csv", "json"):
         raise ValueError(f"unsupported export format {fmt!r}")
     if df.isEmpty():
-        return
-    w = df.write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.json(path))
+        return False
+    df.write.mode("overwrite").options(**_TEXT_OPTIONS).format(fmt).save(path)
+    return True
+
+
+def exported(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
+    """The rows that ``export`` wrote."""
+    return spark.read.schema(schema).options(**_TEXT_OPTIONS).format(fmt).load(path)
 
 
 def audit_statistics(header: DataFrame) -> DataFrame:
     """Counts by mapper, by status, by prediction (excluding -1) and the total row with
     average confidence (3 dp), latency (2 dp) and success percentage (2 dp) — one
     GROUPING SETS aggregate over a single scan."""
-    header.createOrReplaceTempView("_audit_header")
     return header.sparkSession.sql("""
         SELECT * FROM (SELECT CASE WHEN grouping(mapper_type) = 0 THEN 'mapper' WHEN grouping(validation_status) = 0 THEN 'status'
                     WHEN grouping(pred) = 0 THEN 'prediction' ELSE 'total' END AS grouping_key,
@@ -119,9 +127,9 @@ def audit_statistics(header: DataFrame) -> DataFrame:
                CASE WHEN grouping_id() = 7 THEN round(avg(processing_time_ms), 2) END AS avg_latency_ms,
                CASE WHEN grouping_id() = 7 THEN round(sum(CASE WHEN validation_status = 'success' THEN 1 ELSE 0 END) * 100.0D
                     / greatest(count(1), 1), 2) END AS success_rate
-        FROM (SELECT *, CASE WHEN fraud_prediction <> -1 THEN fraud_prediction END AS pred FROM _audit_header)
+        FROM (SELECT *, CASE WHEN fraud_prediction <> -1 THEN fraud_prediction END AS pred FROM {header})
         GROUP BY GROUPING SETS ((mapper_type), (validation_status), (pred), ()))
-        WHERE NOT (grouping_key = 'prediction' AND grouping_value IS NULL)""")
+        WHERE NOT (grouping_key = 'prediction' AND grouping_value IS NULL)""", header=header)
 
 
 def audit_retention(header: DataFrame, days: int = 90, now=None) -> tuple[DataFrame, DataFrame]:

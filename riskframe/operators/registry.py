@@ -4,7 +4,7 @@ min_by) rather than per-key loops; windows are partitioned by model."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: default degradation thresholds, and the manager's stricter set
@@ -13,6 +13,10 @@ DEFAULT_THRESHOLDS = {"accuracy": 0.95, "precision": 0.90, "recall": 0.85, "f1":
 MANAGER_THRESHOLDS = {"accuracy": 0.99, "precision": 0.95, "recall": 0.90, "f1": 0.92, "auc": 0.95,
                       "drift": 0.1, "error_rate": 0.01}
 LOWER_IS_BETTER = ("drift", "error_rate")
+#: What to do about a breached metric; an alert without any of these asks to watch the trend.
+ACTIONS = {"accuracy": "review_training_data", "precision": "adjust_threshold", "recall": "study_missed_cases",
+           "drift": "validate_input_data", "error_rate": "check_deployment"}
+WATCH = "watch_trend"
 
 
 def model_versions(reg: DataFrame) -> DataFrame:
@@ -42,10 +46,13 @@ def degradation(perf: DataFrame, thresholds: dict = DEFAULT_THRESHOLDS, out: str
 
 def performance_alerts(perf: DataFrame, thresholds: dict = DEFAULT_THRESHOLDS) -> DataFrame:
     """Degraded rows only; severity by #reasons (>=4 critical, >=2 high, else medium);
-    retrain flag from 3 reasons."""
+    the action codes of the breached metrics; retrain flag from 3 reasons."""
     d = degradation(perf, thresholds).filter("is_degraded")
     n = F.size("reasons")
-    return d.withColumn("severity", F.when(n >= 4, "critical").when(n >= 2, "high").otherwise("medium")) \
+    breached = lambda m: F.col(m) > thresholds[m] if m in LOWER_IS_BETTER else F.col(m) < thresholds[m]
+    codes = F.filter(F.array(*[F.when(breached(m), F.lit(a)) for m, a in ACTIONS.items() if m in thresholds]), lambda x: x.isNotNull())
+    return d.withColumn("actions", F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit(WATCH)))) \
+        .withColumn("severity", F.when(n >= 4, "critical").when(n >= 2, "high").otherwise("medium")) \
         .withColumn("retrain", n >= 3)
 
 
@@ -75,3 +82,32 @@ def performance_trend(perf: DataFrame, model: str = "model_id", ts: str = "day",
     d = F.col("recent_f1") - F.col("older_f1")
     return g.withColumn("trend", F.when(F.col("n") < 2, "insufficient").when(d > 0.01, "improving")
                         .when(d < -0.01, "degrading").otherwise("stable"))
+
+
+def model_status(models: DataFrame, versions: DataFrame, perf: DataFrame, model: str = "model_id", ts: str = "day") -> DataFrame:
+    """One row per model: active version, latest metrics, trend, health and whether it may go to production.
+
+    A model without versions or without metrics stays, with nulls, trend ``insufficient`` and health ``unknown``.
+    """
+    active = versions.where("is_active").groupBy(model).agg(F.max_by("version_id", F.struct("created_at", "version_id")).alias("active_version"))
+    last = latest_per_model(perf, model, ts)
+    out = models.select(model).distinct().join(active, model, "left").join(last.drop("recency"), model, "left") \
+        .join(performance_trend(perf, model, ts).select(model, "trend"), model, "left")
+    return health_status(out).withColumn("trend", F.coalesce("trend", F.lit("insufficient"))).withColumn("production_ready", F.coalesce(production_ready(), F.lit(False)))
+
+
+def production_ready(thresholds: dict = DEFAULT_THRESHOLDS) -> Column:
+    """All five quality metrics at or above their thresholds."""
+    ok = F.lit(True)
+    for m in ("accuracy", "precision", "recall", "f1", "auc"):
+        ok = ok & (F.col(m) >= thresholds[m])
+    return ok
+
+
+def cascade_delete(gone: DataFrame, key: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table without the rows whose ``key`` is in ``gone``; rows with a null key stay.
+
+    ``gone`` is not broadcast by hand: its measured size decides.
+    """
+    keys = gone.select(key).where(F.col(key).isNotNull()).distinct()
+    return {name: t.join(keys, key, "left_anti") for name, t in tables.items()}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import rnd
 from riskframe.operators import audit as AU
 from riskframe.operators import risk as K
 from riskframe.plans.catalog import query
+from riskframe.session import checkpoint_dir
 from riskframe.sources import metadata_views as MV
 
 
@@ -15,6 +18,11 @@ def _tables(spark, sf):
     return AU.audit_tables(MV.operations(spark, sf))
 
 
+def _through(df, fmt):
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/audit-{fmt}-{uuid.uuid4().hex}"
+    return AU.exported(df.sparkSession, path, fmt, df.schema) if AU.export(df, path, fmt) else df.limit(0)
+
+
 _HEADER_COLS = ["id", "timestamp", "session_id", "user_id", "operation_type", "input_hash", "mapper_type", "model_version",
                 "processing_time_ms", "confidence_score", "fraud_prediction", "fraud_probability", "validation_status",
                 "error_message", "dt"]
@@ -44,8 +52,9 @@ _SUMMARY_SQL = """SELECT h.id AS audit_id, h."timestamp", h.operation_type, h.ma
 
 @query("audit_summary_csv", _SUMMARY_SQL)
 def audit_summary_csv(spark, sf):
+    """The summary rows written as CSV; the rows that the files hold."""
     t = _tables(spark, sf)
-    return AU.audit_summary(t["mapping_audit"], t["input_details"])
+    return _through(AU.audit_summary(t["mapping_audit"], t["input_details"]), "csv")
 
 
 @query("audit_jsonl")
@@ -70,8 +79,9 @@ def latest_audit(spark, sf):
   WHERE h."timestamp" >= TIMESTAMP '2024-01-03 00:00:00' AND h."timestamp" <= TIMESTAMP '2024-01-28 00:00:00'
   ORDER BY h."timestamp" DESC, h.id LIMIT 10000)""")
 def audit_export(spark, sf):
+    """The newest rows of a date range written as JSON; the rows that the files hold."""
     t = _tables(spark, sf)
-    return AU.audit_export(t["mapping_audit"], t["input_details"], "2024-01-03 00:00:00", "2024-01-28 00:00:00", 10000)
+    return _through(AU.audit_export(t["mapping_audit"], t["input_details"], "2024-01-03 00:00:00", "2024-01-28 00:00:00", 10000), "json")
 
 
 @query("audit_statistics", """SELECT CASE WHEN grouping(mapper_type) = 0 THEN 'mapper' WHEN grouping(validation_status) = 0 THEN 'status'

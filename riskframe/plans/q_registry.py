@@ -143,13 +143,20 @@ def degradation(spark, sf):
                     (F.size("reasons") > 0).alias("is_degraded"), (F.size("strict_reasons") > 0).alias("degraded_strict"))
 
 
+def _actions_sql(th):
+    codes = ", ".join(f"CASE WHEN {m} {'>' if m in G.LOWER_IS_BETTER else '<'} {th[m]} THEN '{a}' END" for m, a in G.ACTIONS.items())
+    return f"coalesce(nullif(concat_ws(',', {codes}), ''), '{G.WATCH}')"
+
+
 @query("performance_alerts", f"""SELECT model_id, day, CASE WHEN n >= 4 THEN 'critical' WHEN n >= 2 THEN 'high' ELSE 'medium' END AS severity,
-  n >= 3 AS retrain, CAST(n AS INTEGER) AS n_reasons FROM (
-  SELECT model_id, day, len(string_split({_reasons_sql(G.DEFAULT_THRESHOLDS)}, ',')) AS n FROM performance_history
+  n >= 3 AS retrain, CAST(n AS INTEGER) AS n_reasons, reasons, actions FROM (
+  SELECT model_id, day, {_reasons_sql(G.DEFAULT_THRESHOLDS)} AS reasons, len(string_split({_reasons_sql(G.DEFAULT_THRESHOLDS)}, ',')) AS n,
+  {_actions_sql(G.DEFAULT_THRESHOLDS)} AS actions FROM performance_history
   WHERE {_reasons_sql(G.DEFAULT_THRESHOLDS)} IS NOT NULL)""")
 def performance_alerts(spark, sf):
     a = G.performance_alerts(MV.performance_history(spark, sf))
-    return a.select("model_id", "day", "severity", "retrain", F.size("reasons").cast("int").alias("n_reasons"))
+    return a.select("model_id", "day", "severity", "retrain", F.size("reasons").cast("int").alias("n_reasons"),
+                    F.array_join("reasons", ",").alias("reasons"), F.array_join("actions", ",").alias("actions"))
 
 
 _LATEST = "lp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY day DESC) AS recency FROM performance_history) WHERE recency = 1)"
@@ -168,12 +175,7 @@ def health_status(spark, sf):
 def production_gate(spark, sf):
     """All five metrics at or above the thresholds (latest metrics per model)."""
     lp = G.latest_per_model(MV.performance_history(spark, sf))
-    t = G.DEFAULT_THRESHOLDS
-    ok = None
-    for m in ("accuracy", "precision", "recall", "f1", "auc"):
-        c = F.col(m) >= t[m]
-        ok = c if ok is None else ok & c
-    return lp.select("model_id", ok.alias("production_ready"))
+    return lp.select("model_id", G.production_ready().alias("production_ready"))
 
 
 @query("performance_history", """SELECT model_id, day, round(f1, 9) AS f1 FROM (
@@ -202,12 +204,45 @@ def performance_trend(spark, sf):
     return t.select("model_id", "n", rnd("recent_f1", 9).alias("recent_f1"), rnd("older_f1", 9).alias("older_f1"), "trend")
 
 
-@query("model_status", f"""WITH {_LATEST} SELECT count(*) AS models,
+_TREND_SQL = """l10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY day DESC) AS recency FROM performance_history) WHERE recency <= 10),
+aged AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY day) AS age_rank FROM l10),
+tr AS (SELECT model_id, CASE WHEN count(*) < 2 THEN 'insufficient' WHEN avg(f1) FILTER (WHERE recency <= 3) - avg(f1) FILTER (WHERE age_rank <= 3) > 0.01 THEN 'improving'
+  WHEN avg(f1) FILTER (WHERE recency <= 3) - avg(f1) FILTER (WHERE age_rank <= 3) < -0.01 THEN 'degrading' ELSE 'stable' END AS trend FROM aged GROUP BY model_id)"""
+_NAMED_MODELS_SQL = """ids AS (SELECT model_id, row_number() OVER (ORDER BY model_id) AS place FROM (SELECT DISTINCT model_id FROM performance_history)),
+types AS (SELECT model_type, row_number() OVER (ORDER BY model_type) AS place FROM (SELECT DISTINCT model_type FROM model_versions)),
+named AS (SELECT coalesce(model_id, model_type) AS model_id, model_type FROM ids FULL JOIN types USING (place))"""
+
+
+def _models(spark, sf):
+    """(model_id, versions with model_id, history): stand-in for one registry.  The n-th model with a history has the n-th
+    type's versions; what is left over on either side has the other table empty.  Both lists are names, not rows of the data."""
+    history, versions = MV.performance_history(spark, sf), MV.model_versions(spark, sf)
+    place = lambda df, c: df.select(c).distinct().withColumn("place", F.row_number().over(Window.orderBy(c)))
+    named = place(history, "model_id").join(place(versions, "model_type"), "place", "full") \
+        .select(F.coalesce("model_id", "model_type").alias("model_id"), "model_type")
+    return named.select("model_id"), versions.join(named, "model_type"), history
+
+
+@query("model_status", f"""WITH {_LATEST}, {_TREND_SQL}, {_NAMED_MODELS_SQL},
+av AS (SELECT n.model_id, arg_max(v.version_id, (v.created_at, v.version_id)) AS active_version FROM named n JOIN model_versions v USING (model_type) WHERE v.is_active GROUP BY 1)
+SELECT n.model_id, av.active_version, lp.day AS measured_on, round(lp.accuracy, 9) AS accuracy, round(lp.f1, 9) AS f1, coalesce(tr.trend, 'insufficient') AS trend,
+  CASE WHEN lp.f1 IS NULL THEN 'unknown' WHEN {_reasons_sql(G.DEFAULT_THRESHOLDS)} IS NOT NULL THEN 'unhealthy' WHEN lp.f1 >= 0.95 THEN 'excellent'
+    WHEN lp.f1 >= 0.9 THEN 'good' ELSE 'fair' END AS health,
+  coalesce(accuracy >= 0.95 AND precision >= 0.90 AND recall >= 0.85 AND f1 >= 0.88 AND auc >= 0.90, false) AS production_ready
+FROM named n LEFT JOIN av ON n.model_id = av.model_id LEFT JOIN lp ON n.model_id = lp.model_id LEFT JOIN tr ON n.model_id = tr.model_id""")
+def model_status(spark, sf):
+    """Every model with its active version, latest metrics, trend and health."""
+    s = G.model_status(*_models(spark, sf))
+    return s.select("model_id", "active_version", F.col("day").alias("measured_on"), rnd("accuracy", 9).alias("accuracy"), rnd("f1", 9).alias("f1"),
+                    "trend", "health", "production_ready")
+
+
+@query("model_status_counts", f"""WITH {_LATEST} SELECT count(*) AS models,
   count(*) FILTER (WHERE {_reasons_sql(G.DEFAULT_THRESHOLDS)} IS NULL) AS healthy,
   count(*) FILTER (WHERE {_reasons_sql(G.DEFAULT_THRESHOLDS)} IS NOT NULL) AS unhealthy,
   count(*) FILTER (WHERE accuracy >= 0.95 AND precision >= 0.90 AND recall >= 0.85 AND f1 >= 0.88 AND auc >= 0.90) AS production FROM lp""")
-def model_status(spark, sf):
-    """Latest metrics + health per model, summarised as dashboard counts."""
+def model_status_counts(spark, sf):
+    """Counts of the dashboard: models, healthy and unhealthy ones, and those fit for production."""
     lp = G.health_status(G.latest_per_model(MV.performance_history(spark, sf)))
     t = G.DEFAULT_THRESHOLDS
     ready = (F.col("accuracy") >= t["accuracy"]) & (F.col("precision") >= t["precision"]) & (F.col("recall") >= t["recall"]) \
@@ -216,16 +251,28 @@ def model_status(spark, sf):
                   F.sum(F.col("is_degraded").cast("long")).alias("unhealthy"), F.sum(ready.cast("long")).alias("production"))
 
 
-@query("cascade_delete", """SELECT (SELECT count(*) FROM performance_history WHERE model_id <> 'error') AS history_left,
-  (SELECT count(*) FROM experiment_metrics m WHERE m.experiment_id <> 'exp_0') AS metrics_left""")
+@query("cascade_delete", f"""WITH {_LATEST}, {_NAMED_MODELS_SQL},
+bad AS (SELECT model_id FROM lp WHERE {_reasons_sql(G.MANAGER_THRESHOLDS)} IS NOT NULL AND accuracy < (SELECT max(accuracy) FROM lp)),
+bad_e AS (SELECT experiment_id FROM experiments WHERE status <> 'completed')
+SELECT 'models' AS table_name, model_id AS key, count(*) AS n_rows FROM named WHERE model_id NOT IN (SELECT model_id FROM bad) GROUP BY 2
+UNION ALL SELECT 'versions', n.model_id, count(*) FROM model_versions v JOIN named n USING (model_type) WHERE n.model_id NOT IN (SELECT model_id FROM bad) GROUP BY 2
+UNION ALL SELECT 'history', model_id, count(*) FROM performance_history WHERE model_id NOT IN (SELECT model_id FROM bad) GROUP BY 2
+UNION ALL SELECT 'experiments', experiment_id, count(*) FROM experiments WHERE experiment_id NOT IN (SELECT experiment_id FROM bad_e) GROUP BY 2
+UNION ALL SELECT 'metrics', experiment_id, count(*) FROM experiment_metrics WHERE experiment_id NOT IN (SELECT experiment_id FROM bad_e) GROUP BY 2""")
 def cascade_delete(spark, sf):
-    """Remove a model (and an experiment) with its rows in dependent tables (left_anti)."""
-    p = MV.performance_history(spark, sf)
-    gone = spark.createDataFrame([("error",)], "model_id string")
-    e = MV.experiment_metrics(spark, sf)
-    gone_e = spark.createDataFrame([("exp_0",)], "experiment_id string")
-    return spark.range(1).select(p.join(F.broadcast(gone), "model_id", "left_anti").select(F.count(F.lit(1))).scalar().alias("history_left"),
-                                 e.join(F.broadcast(gone_e), "experiment_id", "left_anti").select(F.count(F.lit(1))).scalar().alias("metrics_left"))
+    """Degraded models (but the most accurate one) and unfinished experiments go with their dependent rows; rows left per table and key."""
+    models, versions, history = _models(spark, sf)
+    last = G.degradation(G.latest_per_model(history), G.MANAGER_THRESHOLDS)
+    bad = last.withColumn("best", last.select(F.max("accuracy")).scalar()).where("is_degraded AND accuracy < best")
+    left = G.cascade_delete(bad, "model_id", {"models": models, "versions": versions, "history": history})
+    e = MV.experiments(spark, sf)
+    left |= G.cascade_delete(e.where("status <> 'completed'"), "experiment_id", {"experiments": e, "metrics": MV.experiment_metrics(spark, sf)})
+    out = None
+    for name, t in left.items():
+        key = "model_id" if "model_id" in t.columns else "experiment_id"
+        part = t.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "key", "n_rows")
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query("metric_history", """SELECT experiment_id, metric, count(*) AS steps, round(arg_max(value, step), 9) AS latest_value
