@@ -48,6 +48,45 @@ def test_mapper_errors_persistence_and_spread(spark, tmp_path):
     assert all(abs(sum(v) - 1) < 1e-9 for v in shares.values()) and "all" in shares
 
 
+def test_boosted_mapper_search_and_training_run(spark):
+    df = mapping_frame(spark)
+    some = V_NAMES[:2]
+    grid = [{"trees": 1, "depth": 1}, {"trees": 8, "depth": 3, "step": 0.3}]
+    found = {r.candidate: r for r in mapper.tune_mapper(df, "boosted", grid, "request_id", some, n_rows=150).collect()}
+    assert set(found) == {0, 1} and found[1].is_best and not found[0].is_best and found[0].mean_score < found[1].mean_score < 0
+    train, validation, test = df.where("request_id % 10 < 7"), df.where("request_id % 10 = 7"), df.where("request_id % 10 > 7")
+    fits = {"forest": lambda t: mapper.MultiOutputRegressor("forest", some, trees=4, depth=4).fit(t),
+            "boosted": lambda t: mapper.MultiOutputRegressor("boosted", some, **grid[1]).fit(t)}
+
+    def broken(_):
+        raise ValueError("no such thing")
+    models = {n: f(train) for n, f in fits.items()}
+    got = {r.model: r for r in mapper.train_run(train, validation, test, {n: lambda _, m=m: m for n, m in models.items()} | {"broken": broken}, "request_id", some).collect()}
+    assert set(got) == {"forest", "boosted", "ensemble", "broken"}
+    assert all((r.n_train, r.n_validation, r.n_test) == (210, 30, 60) for r in got.values())
+    assert "no such thing" in got["broken"].error and got["broken"].mse is None and not got["broken"].is_best
+
+    def by_hand(rows):
+        y = np.array([[r[t] for t in some] for r in rows.orderBy("request_id").collect()])
+        return y, {n: np.array([r.estimate for r in m.transform(rows).orderBy("request_id").collect()]) for n, m in models.items()}
+    y, e = by_hand(validation)
+    corr = lambda a, b: np.mean([np.corrcoef(a[:, i], b[:, i])[0, 1] for i in range(2)])
+    score = {n: corr(y, v) - 0.1 * np.mean((y - v) ** 2) for n, v in e.items()}
+    low = min(score.values())
+    score = {n: v - low + 0.1 if low < 0 else v for n, v in score.items()}
+    weight = {n: v / sum(score.values()) for n, v in score.items()}
+    y, e = by_hand(test)
+    e["ensemble"] = sum(weight[n] * e[n] for n in weight)
+    for n, v in e.items():
+        assert abs(got[n].mse - np.mean((y - v) ** 2)) < 1e-9 and abs(got[n].mae - np.mean(np.abs(y - v))) < 1e-9
+        assert abs(got[n]["corr"] - corr(y, v)) < 1e-9
+        assert n == "ensemble" or abs(got[n].weight - weight[n]) < 1e-9
+    assert got[min(e, key=lambda n: np.mean((y - e[n]) ** 2))].is_best and sum(r.is_best for r in got.values()) == 1
+    alone = mapper.train_run(train, validation, test.limit(0), {"forest": lambda _: models["forest"], "broken": broken}, "request_id", some).collect()
+    assert {r.model for r in alone} == {"forest", "broken"} and all(r.mse is None and not r.is_best for r in alone)
+    assert [r.error is not None for r in mapper.train_run(train, validation, test, {"broken": broken}, "request_id", some).collect()] == [True]
+
+
 def test_weights_and_combinations(spark):
     scores = lambda *xs: spark.createDataFrame([(f"m{i}", x) for i, x in enumerate(xs)], "member string, score double")
     got = lambda *xs: [round(r.weight, 9) for r in mapper.ensemble_weights(scores(*xs)).orderBy("member").collect()]
