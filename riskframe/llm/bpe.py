@@ -131,6 +131,13 @@ def _by_count(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _mark(words, rank: np.ndarray) -> int:
+    """Digest of a chunk's word list in order, with the numbers: equal for both readings of the same rows."""
+    digest = xxhash.xxh64("\0".join(words).encode("utf-8", "replace"))
+    digest.update(rank.tobytes())
+    return digest.intdigest() - (1 << 63)
+
+
 def _walk(docs: DataFrame, schema: str, shared, chunk_chars: int, start, add, close) -> DataFrame:
     """Walk every partition's texts in chunks of about ``chunk_chars``; ``close`` yields a chunk's batches."""
     def run(batches):
@@ -149,7 +156,7 @@ def _walk(docs: DataFrame, schema: str, shared, chunk_chars: int, start, add, cl
 
 
 def _places(docs: DataFrame, shared, chunk_chars: int) -> DataFrame:
-    """(chunk, size, doc_id, at): every document's word numbers, packed; ``size`` counts the chunk's words."""
+    """(chunk, size, mark, doc_id, at): every document's word numbers, packed; ``size`` counts the chunk's words, ``mark`` is their digest."""
     def add(state, doc, words):
         numbers, ids, at = state
         ids.append(doc)
@@ -160,20 +167,23 @@ def _places(docs: DataFrame, shared, chunk_chars: int) -> DataFrame:
         if not ids:
             return
         rank = _by_count(np.bincount(np.concatenate(at), minlength=len(numbers)))
+        mark = _mark(numbers, rank)
         for i in range(0, len(ids), 500):
             n = len(ids[i:i + 500])
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([len(numbers)] * n, pa.int32()), pa.array(ids[i:i + 500], pa.int64()),
-                                              pa.array([pack(rank[a]) for a in at[i:i + 500]], pa.binary())], ["chunk", "size", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([len(numbers)] * n, pa.int32()), pa.array([mark] * n, pa.int64()),
+                                              pa.array(ids[i:i + 500], pa.int64()), pa.array([pack(rank[a]) for a in at[i:i + 500]], pa.binary())],
+                                             ["chunk", "size", "mark", "doc_id", "at"])
 
-    return _walk(docs, "chunk long, size int, doc_id long, at binary", shared, chunk_chars, lambda: (_Numbers(), [], []), add, close)
+    return _walk(docs, "chunk long, size int, mark long, doc_id long, at binary", shared, chunk_chars, lambda: (_Numbers(), [], []), add, close)
 
 
 def _words(docs: DataFrame, shared, chunk_chars: int, buckets: int) -> DataFrame:
-    """(chunk, size, bucket, word[], at): the chunk's distinct words by hash bucket, with their numbers."""
+    """(chunk, size, mark, bucket, word[], at): the chunk's distinct words by hash bucket, with their numbers."""
     def close(state, chunk):
         if not state:
             return
         rank = _by_count(np.fromiter(state.values(), np.int64, len(state)))
+        mark = _mark(state, rank)
         by_bucket = defaultdict(lambda: ([], []))
         digest = xxhash.xxh32_intdigest
         for word, number in zip(state, rank.tolist()):
@@ -181,11 +191,11 @@ def _words(docs: DataFrame, shared, chunk_chars: int, buckets: int) -> DataFrame
             words.append(word)
             places.append(number)
         for bucket, (words, places) in by_bucket.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(state)], pa.int32()), pa.array([bucket], pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(state)], pa.int32()), pa.array([mark], pa.int64()), pa.array([bucket], pa.int32()),
                                               pa.array([words], pa.list_(pa.string())), pa.array([pack(np.array(places))], pa.binary())],
-                                             ["chunk", "size", "bucket", "word", "at"])
+                                             ["chunk", "size", "mark", "bucket", "word", "at"])
 
-    return _walk(docs, "chunk long, size int, bucket int, word array<string>, at binary", shared, chunk_chars,
+    return _walk(docs, "chunk long, size int, mark long, bucket int, word array<string>, at binary", shared, chunk_chars,
                  Counter, lambda state, doc, words: state.update(words), close)
 
 
@@ -196,19 +206,19 @@ def _encode_words(words: DataFrame, shared) -> DataFrame:
         known: dict[str, list[int]] = {}
         now = None
         for batch in batches:
-            for chunk, size, bucket, word, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for chunk, size, mark, bucket, word, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     known, now = {}, bucket
                 new = [w for w in word if w not in known]
                 known.update((w, e.ids) for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)))
                 got = [known[w] for w in word]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), pa.array([size], pa.int32()), pa.array([at], pa.binary()),
+                    [pa.array([chunk], pa.int64()), pa.array([size], pa.int32()), pa.array([mark], pa.int64()), pa.array([at], pa.binary()),
                      pa.array([pack(np.fromiter(map(len, got), np.int64, len(got)))], pa.binary()),
-                     pa.array([pack(np.array([x for i in got for x in i], np.int64))], pa.binary())], ["chunk", "size", "at", "n", "ids"])
+                     pa.array([pack(np.array([x for i in got for x in i], np.int64))], pa.binary())], ["chunk", "size", "mark", "at", "n", "ids"])
 
     return words.repartition("bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(run, "chunk long, size int, at binary, n binary, ids binary")
+        .mapInArrow(run, "chunk long, size int, mark long, at binary, n binary, ids binary")
 
 
 def _ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -222,8 +232,8 @@ def _ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
 class _Lists:
     """A chunk's word list: the ids of the word with each number."""
 
-    def __init__(self, size: int):
-        self.size, self.seen, self.held = size, 0, 0
+    def __init__(self, size: int, mark: int):
+        self.size, self.mark, self.seen, self.held = size, mark, 0, 0
         self.n, self.start, self.ids = np.zeros(size, np.int64), np.zeros(size, np.int64), []
 
     def add(self, at, n, ids):
@@ -260,28 +270,29 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, chunk_chars: int = CHUNK
     is the text of those ids.  Null is the empty text, with no ids; repeated rows each get
     a row, null doc_ids stay; other columns are ignored; an empty table gives no rows.
     ``docs`` must give the same rows in the same order when read twice, as a scan of a
-    table does; if it does not, the job fails instead of joining wrong positions.
+    table does; if it does not, the job fails instead of joining wrong positions: both
+    readings of a chunk carry a digest of its word list in order.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     rows = texts(docs)
     none = F.lit(None)
     lists = _encode_words(_words(rows, shared, chunk_chars, 2 * shuffle_width(spark)), shared) \
-        .select("chunk", F.lit(0).alias("kind"), "size", none.cast("long").alias("doc_id"), "at", "n", "ids")
+        .select("chunk", F.lit(0).alias("kind"), "size", "mark", none.cast("long").alias("doc_id"), "at", "n", "ids")
     places = _places(rows, shared, chunk_chars) \
-        .select("chunk", F.lit(1).alias("kind"), "size", "doc_id", "at", none.cast("binary").alias("n"), none.cast("binary").alias("ids"))
+        .select("chunk", F.lit(1).alias("kind"), "size", "mark", "doc_id", "at", none.cast("binary").alias("n"), none.cast("binary").alias("ids"))
 
     def run(batches):
         pieces, now, table = _Pieces(_tokenizer(shared.value)), None, None
         for batch in batches:
             doc, ids, text, weight = [], [], [], 0
-            for chunk, kind, size, doc_id, at, n, word_ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for chunk, kind, size, mark, doc_id, at, n, word_ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
-                    now, table = chunk, _Lists(size if kind == 0 else 0)
-                if kind == 0:
+                    now, table = chunk, _Lists(size if kind == 0 else 0, mark)
+                if kind == 0 and mark == table.mark:
                     table.add(unpack(at), unpack(n), unpack(word_ids))
                     continue
-                if size != table.size:
+                if (size, mark) != (table.size, table.mark):
                     raise RuntimeError("a chunk and its word list differ: the input gave other rows when it was read again")
                 if isinstance(table.ids, list):
                     table.close()

@@ -14,8 +14,9 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     ``root`` is the smallest node of the component.  Every round hooks each node to its
     smallest neighbour (a map-side combined minimum, so a hub costs one row per task),
     follows the hooks to their ends by repeated doubling, and contracts the edges to
-    the ends.  At least half of the nodes that still have an edge vanish in a round, so
-    the rounds grow as the logarithm of the longest component.  Self loops, repeated
+    the ends.  Only nodes smaller than all their neighbours are left after a round, each with
+    those that hooked to it; the largest node with an edge always goes, but how many go depends
+    on the numbers (of a star with the largest number in its middle, one).  Self loops, repeated
     edges and nulls are ignored; an empty table gives an empty table.
     """
     spark = edges.sparkSession

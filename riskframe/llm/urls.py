@@ -79,8 +79,11 @@ def _statistics(labelled: DataFrame, key: str) -> DataFrame:
         ((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias(f"{key}_block"))
 
 
-def features(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, url, host, path, rule, judged, label (1 block, 0 allow, null none) and all features."""
+def features(pages: DataFrame, rules=RULES, learn: Column | None = None) -> DataFrame:
+    """page_id, url, host, path, rule, judged, label (1 block, 0 allow, null none) and all features.
+
+    Suffix statistics come from the labelled rows that ``learn`` holds for, by default all.
+    """
     host, path = host_and_path("url")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")) \
         .withColumns({"host": host, "path": path})
@@ -88,6 +91,8 @@ def features(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = _lexical(rows.withColumns({"rule": rule, "judged": verdict})
                     .withColumn("label", F.when(F.col("judged") == "block", 1.0).when(F.col("judged") == "allow", 0.0)))
     labelled = rows.where("label IS NOT NULL")
+    if learn is not None:
+        labelled = labelled.where(learn)
     for key in ("suffix", "first"):
         rows = rows.join(_statistics(labelled, key), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
     return rows.fillna({f"{k}_rows": 0.0 for k in ("suffix", "first")} | {f"{k}_block": 0.5 for k in ("suffix", "first")})

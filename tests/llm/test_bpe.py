@@ -1,6 +1,8 @@
 import hashlib
+import os
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from riskframe.llm import bpe
@@ -55,3 +57,14 @@ def test_splitter_agrees_on_every_character():
     for c in [*range(0xD800), *range(0xE000, 0x20000, 7)]:
         s = f"a{chr(c)}a{chr(c)} {chr(c)}1{chr(c)}{chr(c)} !{chr(c)}"
         assert split(s) == [s[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(s)], hex(c)
+
+
+def test_other_order_at_the_second_reading_fails_the_job(spark):
+    """As many distinct words in every reading, but in another order."""
+    def shuffled(frames):
+        for x in frames:
+            yield x.sample(frac=1, random_state=int.from_bytes(os.urandom(4)))
+    words = [(i, f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}") for i in range(300)]
+    docs = spark.createDataFrame(words, "doc_id long, text string").coalesce(1).mapInPandas(shuffled, "doc_id long, text string")
+    with pytest.raises(Exception, match="the input gave other rows when it was read again"):
+        bpe.encode_decode(docs, PATH).collect()
