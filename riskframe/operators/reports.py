@@ -127,20 +127,22 @@ def compare_explainers(df: DataFrame, features: list[str], first: dict[str, Colu
     """(id_col, feature, first, second, first_rank, second_rank, agreement), two explanations of every row side by side.
 
     Ranks go by absolute value (six places, ties by name); ``agreement`` is their rank
-    correlation over the row's features.  Row-local: both orders are sorted arrays.
+    correlation over the row's features.  Row-local: both orders are sorted arrays, each sorted once per row.
     """
     n = len(features)
     both = F.array(*[F.struct(F.lit(f).alias("feature"), first[f].alias("first"), second[f].alias("second")) for f in features])
 
-    def order(side: str) -> Column:
-        return F.transform(F.array_sort(F.transform("_b", lambda e: F.struct((-F.round(F.abs(e[side]), 6)).alias("k"), e["feature"].alias("feature")))), lambda e: e["feature"])
-    x = df.select(id_col, both.alias("_b")).select("*", order("first").alias("_1"), order("second").alias("_2"))
-    ranked = F.transform("_b", lambda e: F.struct(e["feature"].alias("feature"), e["first"].alias("first"), e["second"].alias("second"),
-                                                  F.array_position("_1", e["feature"]).alias("first_rank"), F.array_position("_2", e["feature"]).alias("second_rank")))
-    x = x.select(id_col, ranked.alias("_r"))
-    apart = F.aggregate("_r", F.lit(0).cast("long"), lambda a, e: a + (e["first_rank"] - e["second_rank"]) * (e["first_rank"] - e["second_rank"]))
+    def ranks(side: str) -> Column:
+        """Every feature's rank, in the order of ``features``.  No lambda may refer to a sorted array: it would be sorted again for every element."""
+        keys = F.transform("_b", lambda e, i: F.struct((-F.round(F.abs(e[side]), 6)).alias("k"), e["feature"].alias("feature"), i.alias("at")))
+        placed = F.transform(F.sort_array(keys), lambda e, i: F.struct(e["at"].alias("at"), (i + 1).cast("long").alias("rank")))
+        return F.transform(F.sort_array(placed), lambda e: e["rank"])
+    x = df.select(id_col, both.alias("_b")).select(id_col, F.arrays_zip("_b", ranks("first").alias("_1"), ranks("second").alias("_2")).alias("_r"))
+    apart = F.aggregate("_r", F.lit(0).cast("long"), lambda a, e: a + (e["_1"] - e["_2"]) * (e["_1"] - e["_2"]))
     agreement = 1 - F.lit(6.0) * apart / F.lit(float(n * (n * n - 1))) if n > 1 else F.lit(1.0)
-    return x.select(id_col, agreement.alias("agreement"), F.explode("_r").alias("r")).select(id_col, "r.*", "agreement")
+    # the outer form: a plain explode infers a filter on the array's size, which goes below the ranks and computes them a second time
+    return x.select(id_col, "_r", agreement.alias("agreement")).select(id_col, "agreement", F.explode_outer("_r").alias("r")) \
+        .select(id_col, "r._b.*", F.col("r._1").alias("first_rank"), F.col("r._2").alias("second_rank"), "agreement")
 
 
 def importance_comparison(importances: DataFrame, models: list[str], n: int = 15) -> DataFrame:
