@@ -68,3 +68,19 @@ def test_other_order_at_the_second_reading_fails_the_job(spark):
     docs = spark.createDataFrame(words, "doc_id long, text string").coalesce(1).mapInPandas(shuffled, "doc_id long, text string")
     with pytest.raises(Exception, match="the input gave other rows when it was read again"):
         bpe.encode_decode(docs, PATH).collect()
+
+
+def test_common_texts_are_split_as_the_tokenizer_does():
+    import random
+    split = bpe.Splitter(bpe.read_tokenizer(PATH))
+    rng = random.Random(3)
+    chars = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x2010, 0x2028)] + list("   ''sstl12 aé\n\t") * 20
+    for _ in range(5000):
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(1, 16)))
+        assert split._plain(text) == split.find_common(text) == [text[a:b] for _, (a, b) in split.slow.pre_tokenize_str(text)], text
+
+
+def test_lists_packed_together_are_those_packed_alone():
+    import numpy as np
+    lists = [np.array(x, np.int64) for x in ([], [0, 127, 128], [], [1 << 21, 5], [1 << 28])]
+    assert bpe.pack_all(lists) == [bpe.pack(x) for x in lists]
