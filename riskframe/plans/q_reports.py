@@ -11,6 +11,7 @@ from riskframe.functions.columns import rnd
 from riskframe.functions.dims import FEATURES, V_NAMES
 from riskframe.operators import bounds as B
 from riskframe.operators import metrics as M
+from riskframe.operators.neighbours import spread
 from riskframe.operators import reports as P
 from riskframe.operators import sampling
 from riskframe.plans import q_quality, q_sampling  # noqa: F401  (their oracles are parts of those below)
@@ -233,7 +234,7 @@ def compare_explainers(spark, sf):
     """Linear attributions (X01) against importance times value (X04) on every transaction."""
     t = views.txn(spark, sf)
     x = t.withColumn("_mu", t.select(F.struct(*[F.avg(c).alias(c) for c in FEATURES])).scalar())
-    r = P.compare_explainers(x, FEATURES, {c: F.lit(COEF[c]) * (F.col(c) - F.col("_mu")[c]) for c in FEATURES}, {c: F.lit(abs(COEF[c])) * F.col(c) for c in FEATURES})
+    r = P.compare_explainers(spread(x), FEATURES, {c: F.lit(COEF[c]) * (F.col(c) - F.col("_mu")[c]) for c in FEATURES}, {c: F.lit(abs(COEF[c])) * F.col(c) for c in FEATURES})
     return r.withColumns({"first": rnd("first", 3) + 0.0, "second": rnd("second", 3) + 0.0, "agreement": rnd("agreement")})
 
 
