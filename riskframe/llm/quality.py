@@ -8,6 +8,8 @@ N-grams are words, word pairs and pairs of word shapes with a mark for a repeate
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,7 +43,7 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint64)
 _GAP = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _mix(x: np.ndarray, n: int) -> np.ndarray:
@@ -78,16 +80,18 @@ def grams(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                             _mix((shape[pair] * odd + shape[pair + 1]) * np.uint64(2) + (a == b).astype(np.uint64), BUCKETS[2]) + _OFFSETS[2])))
 
 
-def _pieces(column) -> list[list[bytes]]:
-    """The texts of a batch in groups of about a megabyte; a longer text is a group of its own."""
-    out, held, size = [], [], 0
-    for text in column.cast(pa.binary()).to_pylist():
+def _pieces(column) -> Iterator[list[bytes]]:
+    """The texts of a batch in groups of about a quarter of a megabyte, one at a time; a longer text is a group of its own."""
+    held, size = [], 0
+    for value in column.cast(pa.binary()):
+        text = value.as_py()
         if held and size + len(text) > _CHUNK:
-            out.append(held)
+            yield held
             held, size = [], 0
         held.append(text)
         size += len(text)
-    return out + [held] if held else out
+    if held:
+        yield held
 
 
 def counts(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
