@@ -20,6 +20,9 @@ from riskframe.session import checkpoint_dir
 #: Parts of a key's state, so that a key that holds most rows is spread over tasks.
 SALTS = 16
 
+#: States that the keys of ``stream_dedup`` are dealt over; part of the checkpoint's meaning, so it stays.
+BUCKETS = 4096
+
 
 def _root(df: DataFrame, root: str | None) -> str:
     return root or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{uuid.uuid4().hex}"
@@ -39,36 +42,72 @@ def first_within(times: np.ndarray, last: int | None, ttl: int) -> list[int]:
     return out
 
 
+def counted_rows(codes: np.ndarray, us: np.ndarray, ids: np.ndarray, held: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, counted): the order by key, time and id, a key's held time first, and which of the rows in it count.
+
+    A row at least ``ttl`` after the row before it counts whatever came earlier; only keys that have another row are walked.
+    """
+    order = np.lexsort((ids, us, ~held, codes))
+    codes, us, held = codes[order], us[order], held[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    sizes = np.diff(np.r_[starts, len(codes)])
+    # a row before its key's held time is as good as at that time
+    at = np.where(np.repeat(held[starts], sizes), np.maximum(us, np.repeat(us[starts], sizes)), us)
+    counted = np.r_[True, at[1:] - at[:-1] >= ttl]
+    counted[starts] = True
+    for i in np.flatnonzero(~np.logical_and.reduceat(counted, starts)):
+        a, b = starts[i], starts[i] + sizes[i]
+        counted[a:b] = False
+        if held[a]:
+            counted[a + 1 + np.array(first_within(at[a + 1:b], int(at[a]), ttl), dtype=np.int64)] = True
+        else:
+            counted[a + np.array(first_within(at[a:b], None, ttl), dtype=np.int64)] = True
+    return order, counted & ~held
+
+
 def stream_dedup(rows: DataFrame, keys: list[str], id_col: str, time_col: str = "ts", ttl_seconds: int = 3600, watermark: str = "1 hour") -> DataFrame:
     """ST03: (keys, id_col, time): the rows that count; a row equal in ``keys`` to one counted less than the time to live before does not.
 
-    State holds one time per key and goes once the watermark is past its time to live.
-    Rows later than the watermark are dropped; a row that comes after a later one of its
+    Keys are dealt over ``BUCKETS`` states, so that a call works on many keys at once; a state holds one time per key,
+    which goes once the watermark is past its time to live.  Keys travel as text and come back in their own types.
+    Rows without a time or later than the watermark are dropped; a row that comes after a later one of its
     key has counted is a repeat.  Rows of one time count by the smallest id.
     """
     ttl = ttl_seconds * 1_000_000
-    r = rows.select(*keys, F.col(id_col).cast("long").alias(id_col), F.col(time_col).cast("timestamp").alias("event_time")) \
-        .withWatermark("event_time", watermark).withColumn("us", F.unix_micros("event_time"))
-    kinds = ", ".join(f"{k} {dict(r.dtypes)[k]}" for k in keys)
+    kinds = {k: rows.schema[k].dataType for k in keys}
+    text = lambda k: F.base64(k) if kinds[k].simpleString() == "binary" else F.col(k).cast("string")
+    back = lambda k: F.unbase64(k) if kinds[k].simpleString() == "binary" else F.col(k).cast(kinds[k])
+    r = rows.where(F.col(time_col).isNotNull()) \
+        .select(*[text(k).alias(k) for k in keys], F.col(id_col).cast("long").alias(id_col), F.col(time_col).cast("timestamp").alias("event_time")) \
+        .withWatermark("event_time", watermark) \
+        .select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket"), *keys, id_col, "event_time", F.unix_micros("event_time").alias("us"))
 
     def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs() * 1000
+        kept = pd.DataFrame(dict(zip([*keys, "us"], state.get)) if state.exists else {c: [] for c in [*keys, "us"]})
+        new = [] if state.hasTimedOut else [p[[*keys, "us", id_col]] for p in parts]
+        if not state.hasTimedOut:
+            x = pd.concat([kept.assign(**{id_col: -1}), *new], ignore_index=True) if len(kept) else pd.concat(new, ignore_index=True)
+            codes = x.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            held = np.arange(len(x)) < len(kept)
+            order, counted = counted_rows(codes, x["us"].to_numpy(dtype=np.int64), x[id_col].to_numpy(), held, ttl)
+            x, held, codes = x.iloc[order], held[order], codes[order]
+            if counted.any():
+                yield x.loc[counted, [*keys, id_col, "us"]]
+            # the latest counted time of every key, or the held one
+            known = np.flatnonzero(counted | held)
+            last = np.r_[codes[known][1:] != codes[known][:-1], True]
+            kept = x.iloc[known[last]][[*keys, "us"]]
+        kept = kept[kept["us"] + ttl > now]
+        if kept.empty:
             state.remove()
             return
-        held = [(p["us"].to_numpy(), p[id_col].to_numpy()) for p in parts]
-        us, ids = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, us))
-        us, ids = us[order], ids[order]
-        last = state.get[0] if state.exists else None
-        counted = first_within(us, last, ttl)
-        if counted:
-            last = int(us[counted[-1]])
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
-        if counted:
-            yield pd.DataFrame({**{k: [v] * len(counted) for k, v in zip(keys, key)}, id_col: ids[counted], "us": us[counted]})
-    out = r.groupBy(*keys).applyInPandasWithState(count, f"{kinds}, {id_col} long, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select(*keys, id_col, F.timestamp_micros("us").alias("event_time"))
+        state.update((*[[None if pd.isna(v) else v for v in kept[k]] for k in keys], [int(v) for v in kept["us"]]))
+        state.setTimeoutTimestamp(max((int(kept["us"].min()) + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
+    names = ", ".join(f"`{k}` string" for k in keys)
+    lists = ", ".join(f"`{k}` array<string>" for k in keys)
+    out = r.groupBy("bucket").applyInPandasWithState(count, f"{names}, `{id_col}` long, us long", f"{lists}, us array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*[back(k).alias(k) for k in keys], id_col, F.timestamp_micros("us").alias("event_time"))
 
 
 def stream_recent(rows: DataFrame, key: str, id_col: str, value: str, n: int, time_col: str = "ts") -> DataFrame:

@@ -63,6 +63,39 @@ def test_first_within_is_the_greedy_choice():
         assert SF.first_within(np.array(times, dtype=np.int64), last, 60) == want
 
 
+def test_many_keys_of_a_bucket_are_counted_as_one_by_one():
+    rng = random.Random(8)
+    for _ in range(50):
+        n, ttl = rng.randrange(1, 60), 60
+        codes = np.array([rng.randrange(6) for _ in range(n)])
+        us = np.array([rng.randrange(400) for _ in range(n)], dtype=np.int64)
+        held = np.zeros(n, dtype=bool)
+        for c in range(3):                                                      # some keys have a time already
+            held[np.flatnonzero(codes == c)[:1]] = True
+        order, counted = SF.counted_rows(codes, us, np.arange(n), held, ttl)
+        want = set()
+        for c in range(6):
+            last = next((us[i] for i in range(n) if codes[i] == c and held[i]), None)
+            mine = sorted((us[i], i) for i in range(n) if codes[i] == c and not held[i])
+            want |= {mine[j][1] for j in SF.first_within(np.array([t for t, _ in mine], dtype=np.int64), last, ttl)}
+        assert set(order[counted].tolist()) == want
+
+
+def test_state_is_dealt_over_a_bounded_number_of_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SF, "BUCKETS", 2, raising=False)
+    feed = Feed(spark, tmp_path / "in")
+    keys = [f"k{i}" for i in range(20)] + [None]
+    feed.add([(i, k, at(i), 0.0) for i, k in enumerate(keys)] + [(500, "k1", None, 0.0)])
+    feed.add([(100 + i, k, at(1800 + i), 0.0) for i, k in enumerate(keys)])
+    feed.add([(200 + i, k, at(3600 + 2 * i), 0.0) for i, k in enumerate(keys)])
+    stream = feed.stream().select("id", "ts", F.struct("k").alias("s"), "k", F.length("k").cast("long").alias("size"), F.col("k").cast("binary").alias("b"))
+    out = SF.stream_dedup(stream, ["k", "size", "b"], "id")
+    assert "[bucket" in out._jdf.queryExecution().analyzed().toString()         # one call a bucket, not one a key
+    assert dict(out.dtypes) == {"k": "string", "size": "bigint", "b": "binary", "id": "bigint", "event_time": "timestamp"}
+    got = sorted((r.id, r.k, r["size"], bytes(r.b) if r.b is not None else None) for r in S.run_to_table(out).collect())
+    assert got == [(n + i, k, k and len(k), k and k.encode()) for n in (0, 200) for i, k in enumerate(keys)]
+
+
 def test_recent_rows_go_on_from_the_checkpoint(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, rng.choice(["m1", "m1", "m1", "m2"]), at(rng.randrange(5000)), float(i % 13)) for i in range(400)] + [(900, "m3", at(1), 2.0)]
