@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from riskframe.operators import neighbours
+from riskframe.operators import models, neighbours
 
 
 def test_a_one_partition_table_is_dealt_evenly(spark):
@@ -31,3 +31,19 @@ def test_heavy_queries_read_a_spread_table(spark, monkeypatch):
         except AttributeError:                      # no model is fitted here
             pass
     assert seen.count("models") >= 2
+
+
+def test_training_rows_are_dealt_evenly_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 3 * models.TRAIN_ROWS * cores, 1, 1)                     # one file's rows: one partition
+    dealt = models.packed(df, df.count())
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and min(sizes) > 0.9 * max(sizes)
+    assert models.packed(df, models.TRAIN_ROWS).rdd.getNumPartitions() == 1
+
+
+def test_training_tasks_are_bounded_by_cores_and_rows():
+    at = models.TRAIN_ROWS
+    assert [models.training_tasks(n, 12) for n in (0, 1, at, at + 1, 12 * at, 500 * at)] == [1, 1, 1, 2, 12, 12]
+    assert models.training_tasks(30 * models.MOST_ROWS, 12) == 30
+    assert models.training_tasks(15 * at, 12, 15 * at) == 1
