@@ -3,16 +3,18 @@
 import itertools
 import math
 import random
+import threading
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from riskframe.functions.dims import V_NAMES
+from riskframe.functions.ranking import depth_bucket
 from riskframe.operators import ensemble, mapper, metrics, persist, sampling, shapley, surrogate, trees
 
 
@@ -48,6 +50,39 @@ def test_mapper_errors_persistence_and_spread(spark, tmp_path):
     assert all(abs(sum(v) - 1) < 1e-9 for v in shares.values()) and "all" in shares
 
 
+def test_mapper_caches_node_numbers_and_grows_the_same_trees(spark):
+    df, some = mapping_frame(spark), V_NAMES[:2]
+    fit = mapper.MultiOutputRegressor("forest", some, trees=4, depth=5)
+    grown = fit._regressor()
+    assert grown.getCacheNodeIds()
+    own = df.select("features", F.col("V1").alias("label")).coalesce(1).cache()
+    assert grown.fit(own).toDebugString.split("\n")[1:] == grown.copy({grown.cacheNodeIds: False}).fit(own).toDebugString.split("\n")[1:]
+
+
+def test_mapper_writes_and_reads_targets_side_by_side(spark, tmp_path, monkeypatch):
+    df, some = mapping_frame(spark, 60), V_NAMES[:2]
+    model = mapper.MultiOutputRegressor("forest", some, trees=2, depth=2).fit(df)
+    gate = threading.Barrier(2, timeout=60)           # two at once, or the test ends here
+
+    class Writer:
+        def __init__(self, of):
+            self.of = of
+
+        def write(self):
+            gate.wait()
+            return self.of.write()
+    model.models = [Writer(m) for m in model.models]
+    model.save(str(tmp_path / "m"))
+    load = mapper.RandomForestRegressionModel.load
+
+    def gated(path):
+        gate.wait()
+        return load(path)
+    monkeypatch.setattr(mapper.RandomForestRegressionModel, "load", gated)
+    again = mapper.MultiOutputModel.load(spark, str(tmp_path / "m"))
+    assert again.targets == some and [m.totalNumNodes for m in again.models] == [w.of.totalNumNodes for w in model.models]
+
+
 def test_boosted_mapper_search_and_training_run(spark):
     df = mapping_frame(spark)
     some = V_NAMES[:2]
