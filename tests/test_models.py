@@ -179,6 +179,49 @@ def test_grid_scores_are_the_average_precision_of_each_fold(spark):
     assert [r.is_best for r in got].count(True) == 1
 
 
+def test_grid_fits_what_candidates_share_once_a_fold(spark, monkeypatch):
+    df = labelled(spark).withColumn("label", F.col("Class").cast("double"))
+    lr = LogisticRegression(featuresCol="features", labelCol="label")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 1.0]).addGrid(lr.maxIter, [200, 1, 100]).build()
+    calls = {"scaler": 0, "logistic": 0, "judged": 0}
+
+    def counted(owner, name, kind):
+        whole = getattr(owner, name)
+
+        def call(*a, **k):
+            calls[kind] += 1
+            return whole(*a, **k)
+        monkeypatch.setattr(owner, name, call)
+    counted(StandardScaler, "_fit", "scaler")
+    counted(LogisticRegression, "_fit", "logistic")
+    counted(metrics, "average_precision", "judged")
+    got = ensemble.tune_grid(df, pipe, grid, "Class", "event_id").orderBy("candidate").collect()
+    # one iteration is not enough, a hundred are: the fit with two hundred would be the same
+    assert calls == {"scaler": 3, "logistic": 12, "judged": 3}
+    monkeypatch.undo()
+    folds = sampling.stratified_kfold(df, "Class", "event_id", k=3).cache()
+    for i, params in enumerate(grid):
+        scores = []
+        for f in range(3):
+            held = pipe.copy(params).fit(folds.where(F.col("fold") != f)).transform(folds.where(F.col("fold") == f))
+            scores.append(metrics.average_precision(held.select(F.col("Class").alias("y"), vector_to_array("probability")[1].alias("p"))).first().average_precision)
+        assert abs(got[i].mean_score - np.mean(scores)) < 1e-9 and abs(got[i].std_score - np.std(scores)) < 1e-9
+        assert got[i].params == {"regParam": str(params[lr.regParam]), "maxIter": str(params[lr.maxIter])}
+    best = max(round(r.mean_score, 12) for r in got)
+    assert [r.candidate for r in got if r.is_best] == [min(r.candidate for r in got if round(r.mean_score, 12) == best)]
+
+
+def test_depth_bucket_counts_the_bounds_below(spark):
+    rng = random.Random(8)
+    values = [rng.gauss(0, 1) for _ in range(700)] + [0.25] * 200 + [None, float("nan"), float("-inf"), float("inf")]
+    for some in (values, values[:3], [None, None], [1.0] * 5):
+        df = spark.createDataFrame([(v,) for v in some], "p double")
+        bounds = df.select(F.percentile_approx("p", [i / 256 for i in range(1, 256)], 10_000)).first()[0]
+        for r in depth_bucket(df, "p").collect():
+            assert r._depth == (0 if r.p is None else 255 if math.isnan(r.p) and not math.isnan(bounds[-1]) else sum(b < r.p for b in bounds))
+
+
 def test_saved_model_scores_alike_and_is_found(spark, tmp_path):
     df = labelled(spark)
     fits = []
