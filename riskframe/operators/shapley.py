@@ -7,11 +7,29 @@ import math
 import random
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 BACKGROUND = 50
+#: Points that are made at a time.
+_POINTS = 1 << 12
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """An Arrow column of arrays, one for each row of ``values``."""
+    count, width = values.shape
+    return pa.ListArray.from_arrays(np.arange(0, (count + 1) * width, width, dtype=np.int32), pa.array(values.reshape(-1)))
+
+
+def dense(values: np.ndarray) -> pa.StructArray:
+    """An Arrow column of dense vectors (``VectorUDT``), one for each row of ``values``."""
+    count = len(values)
+    return pa.StructArray.from_arrays([pa.array(np.ones(count, np.int8)), pa.nulls(count, pa.int32()), pa.nulls(count, pa.list_(pa.int32())), lists(values)],
+                                      ["type", "size", "indices", "values"])
 
 
 def background_rows(df: DataFrame, features: list[str], id_col: str, n: int = BACKGROUND, seed: int = 42) -> list[list[float]]:
@@ -36,33 +54,71 @@ def shapley(rows: DataFrame, features: list[str], score: Callable[[DataFrame], D
             permutations: int = 4, every_background: bool = False, seed: int = 42) -> DataFrame:
     """(id_col, base, prediction, contributions array in the order of ``features``); base + sum = prediction.
 
-    ``score`` adds a column p to a frame with the vector column ``raw``.  Per row and
-    order, features go one by one from a background row (drawn by a hash of the id, or all
-    of them) to the row's own value; the change of p belongs to the feature that moved.
-    All steps of a row come from that row, so only sums leave a task.
+    ``score`` adds a column p to a frame with the vector column ``raw``, row by row and
+    without dealing rows anew.  Per row and order, features go one by one from a background
+    row (drawn by a hash of the id, or all of them) to the row's own value; the change of p
+    belongs to the feature that moved.  A row's steps follow one another within a task, so
+    they are added up there and only sums leave it.  A null feature counts as 0.
     """
     if not background:
         raise ValueError("no background rows")
     n, some = len(features), orders(len(features), permutations, seed)
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    ints = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
-    place = [[p.index(i) for i in range(n)] for p in some]
-    walks = F.array(*[F.struct(F.lit(m).alias("m"), ints(p).alias("order"), ints(at).alias("place")) for m, (p, at) in enumerate(zip(some, place))])
-    ground = F.array(*[doubles(b) for b in background])
-    x = rows.select(id_col, F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.explode(walks).alias("w"))
-    if every_background:
-        x = x.withColumn("b", F.explode(ground))
-    else:
-        x = x.withColumn("b", F.get(ground, F.pmod(F.xxhash64(id_col, "w.m", F.lit(seed)), F.lit(len(background))).cast("int")))
-    x = x.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    mixed = F.transform(F.arrays_zip("x", "b", F.col("w.place").alias("place")), lambda e: F.when(e["place"] < F.col("t"), e["x"]).otherwise(e["b"]))
-    stepped = score(x.select(id_col, "t", F.get("w.order", F.col("t") - 1).alias("moved"), F.get("w.order", F.col("t")).alias("next"), array_to_vector(mixed).alias("raw")))
-    part = lambda i: F.sum(F.when(F.col("moved") == i, F.col("p")).otherwise(0.0) - F.when(F.col("next") == i, F.col("p")).otherwise(0.0))
-    runs = F.sum((F.col("t") == 0).cast("long"))
-    out = stepped.groupBy(id_col).agg(
-        (F.sum(F.when(F.col("t") == 0, F.col("p"))) / runs).alias("base"), (F.sum(F.when(F.col("t") == n, F.col("p"))) / runs).alias("prediction"),
-        F.array(*[part(i) / runs for i in range(n)]).alias("contributions"))
-    return out
+    ground, n_ground = np.array(background, np.float64), len(background)
+    moved = np.array(some)                                    # order: the feature that moves at each step
+    own = np.argsort(moved, axis=1)[:, None, :] < np.arange(n + 1)[None, :, None]     # order, step, feature: has it moved?
+    walks = len(some) * (n_ground if every_background else 1)
+    steps = walks * (n + 1)
+    id_type = rows.schema[id_col].dataType
+    drawn = F.array(*[F.pmod(F.xxhash64(id_col, F.lit(m), F.lit(seed)), F.lit(n_ground)).cast("int") for m in range(len(some))])
+    x = rows.select(id_col, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"), drawn.alias("b"))
+
+    def mixed(batches):
+        """(id_col, at, raw): the points of each row, one after another; ``at`` counts them."""
+        at, most = 0, max(1, _POINTS // steps)
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 1, 1, 1, n)
+            if every_background:
+                others = np.broadcast_to(ground[None, None, :, None, :], (batch.num_rows, 1, n_ground, 1, n))
+            else:
+                others = ground[batch.column(2).flatten().to_numpy(zero_copy_only=False)].reshape(-1, len(some), 1, 1, n)
+            for s in range(0, batch.num_rows, most):
+                few = min(most, batch.num_rows - s)
+                raw = np.where(own[None, :, None], values[s:s + few], others[s:s + few]).reshape(-1, n)
+                points = few * steps
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(s, s + few), steps))), pa.array(np.arange(at, at + points)), dense(raw)],
+                                                 [id_col, "at", "raw"])
+                at += points
+    made = x.mapInArrow(mixed, StructType([StructField(id_col, id_type), StructField("at", LongType()), StructField("raw", VectorUDT())]))
+    stepped = score(made).select(id_col, "at", F.col("p").cast("double").alias("p"))
+
+    def added(batches):
+        """(id_col, base, prediction, parts): the sums of each row's walks."""
+        left = None
+        for batch in batches:
+            if left is not None:
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            whole = batch.num_rows // steps
+            left = batch.slice(whole * steps)
+            if not whole:
+                continue
+            at = batch.column(1).to_numpy()[:whole * steps]
+            if at[0] % steps or (np.diff(at) != 1).any():
+                raise ValueError("score has moved rows")
+            p = batch.column(2).to_numpy(zero_copy_only=False)[:whole * steps].reshape(whole, len(some), -1, n + 1)
+            change = np.diff(p, axis=3).sum(axis=2)
+            parts = np.zeros((whole, n))
+            for m, order in enumerate(moved):
+                parts[:, order] += change[:, m]
+            ends = p.sum(axis=(1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[:whole * steps:steps], pa.array(ends[:, 0]), pa.array(ends[:, n]),
+                                              lists(parts)], [id_col, "base", "prediction", "parts"])
+        if left is not None and left.num_rows:
+            raise ValueError("score has moved rows")
+    sums = stepped.mapInArrow(added, StructType([StructField(id_col, id_type), StructField("base", DoubleType()), StructField("prediction", DoubleType()),
+                                                 StructField("parts", ArrayType(DoubleType()))]))
+    runs = F.count(F.lit(1)) * F.lit(walks)
+    return sums.groupBy(id_col).agg((F.sum("base") / runs).alias("base"), (F.sum("prediction") / runs).alias("prediction"),
+                                    F.array(*[F.sum(F.col("parts")[i]) / runs for i in range(n)]).alias("contributions"))
 
 
 def long_form(values: DataFrame, features: list[str], id_col: str = "event_id") -> DataFrame:
