@@ -300,6 +300,36 @@ def test_local_surrogate_of_a_linear_score(spark):
     assert surrogate.local_surrogate(df.where("false"), names, linear, samples=24).count() == 0
 
 
+def test_normal_draws_are_the_hashes_of_spark(spark):
+    ids = [0, 1, -7, 1 << 40, None]
+    want = spark.createDataFrame([(i, m, f) for i in ids for m in range(3) for f in range(4)], "id long, m int, f int") \
+        .select(*[F.pmod(F.xxhash64("id", "m", "f", F.lit(2 * 42 + k)), F.lit(1 << 53)).alias(f"u{k}") for k in range(2)]).collect()
+    u = np.array([[(r.u0 + 1) / ((1 << 53) + 1), (r.u1 + 1) / ((1 << 53) + 1)] for r in want]).reshape(len(ids), 3, 4, 2)
+    z = np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * math.pi * u[..., 1])
+    z[:, 0] = 0
+    known = np.array([i is not None for i in ids])
+    assert np.allclose(surrogate.normals(np.array([i or 0 for i in ids], np.int64), known, 3, 4, 42), z, atol=1e-12)
+
+
+def test_explainers_make_points_in_arrays_and_sum_where_they_are(spark):
+    """The walk of a row leaves its task as sums, and no expression is evaluated per point and feature."""
+    df = spark.createDataFrame([(i, float(i), 1.0, None if i == 2 else 2.0) for i in [1, 2, 3, 3]], "event_id long, a double, b double, c double")
+    names = ["a", "b", "c"]
+    score = lambda f: f.withColumn("p", vector_to_array("raw")[0] + 2 * vector_to_array("raw")[2])
+    values = shapley.shapley(df, names, score, [[0.0, 0.0, 0.0]], "event_id")
+    for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in (values, surrogate.local_surrogate(df, names, score, samples=8))):
+        assert plan.count("MapInArrow") == 2 and "lambda" not in plan and "Generate" not in plan
+    got = {r.event_id: r for r in values.collect()}
+    assert sorted(got) == [1, 2, 3]                                  # rows of one id are one row, a null counts as 0
+    assert all(np.allclose(got[i].contributions, [i, 0, 0 if i == 2 else 4]) and got[i].base == 0 for i in got)
+    moved = lambda f: score(f).orderBy("p")
+    try:
+        shapley.shapley(df, names, moved, [[0.0, 0.0, 0.0]], "event_id").collect()
+        raise AssertionError("moved rows must not be summed")
+    except Exception as e:
+        assert "score has moved rows" in str(e)
+
+
 def test_train_all_skips_failures(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0), (i * 37 % 100) / 100) for i in range(200)], "event_id long, Class int, x double")
 
