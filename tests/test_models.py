@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.dims import V_NAMES
 from riskframe.functions.ranking import depth_bucket
-from riskframe.operators import ensemble, mapper, metrics, persist, sampling, shapley, surrogate, trees
+from riskframe.operators import ensemble, mapper, metrics, models, persist, sampling, shapley, surrogate, trees
 
 
 def mapping_frame(spark, n=300):
@@ -330,6 +330,59 @@ def test_explainers_make_points_in_arrays_and_sum_where_they_are(spark):
         assert "score has moved rows" in str(e)
 
 
+def test_saved_forests_are_walked_as_spark_walks_them(spark, tmp_path, monkeypatch):
+    df, some = mapping_frame(spark, 80), V_NAMES[:2]
+    odd = spark.createDataFrame([(900, [float("nan")] * 8), (901, [0.0] * 8), (902, [float("inf")] * 8)], "request_id long, x array<double>")
+    rows = df.select("request_id", "x").union(odd).withColumn("features", array_to_vector("x"))
+    model = mapper.MultiOutputRegressor("forest", some, trees=5, depth=4).fit(df)
+    got = lambda m: {r.request_id: r.estimate for r in m.transform(rows).collect()}
+    want = got(model)
+    model.save(str(tmp_path / "m"))
+
+    def unread(path):
+        raise AssertionError("a forest's trees come from its node tables")
+    monkeypatch.setattr(mapper.RandomForestRegressionModel, "load", unread)
+    again = mapper.MultiOutputModel.load(spark, str(tmp_path / "m"))
+    assert got(again) == want == got(model) and len(want) == 83
+    per = {t: np.array([[tree.predict(r.features) for tree in m.trees] for r in rows.orderBy("request_id").collect()]) * s + mean
+           for t, m, mean, s in zip(some, model.models, model.means, model.stds)}
+    order = sorted(want)
+    for r in again.tree_spread(rows, "request_id", str(tmp_path / "m")).collect():
+        x = per[r.target][order.index(r.request_id)]
+        assert abs(r.estimate - x.mean()) < 1e-9 and abs(r["std"] - x.std()) < 1e-9
+    assert again.tree_spread(rows, "request_id", str(tmp_path / "m"))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_forests_cache_node_numbers_up_to_a_bound(spark, monkeypatch):
+    df = labelled(spark)
+    kept = models.train(df, ["a", "b"], "random_forest", trees=3, depth=4)
+    monkeypatch.setattr(models, "NODE_NUMBERS", 100)
+    walked = models.train(df, ["a", "b"], "random_forest", trees=3, depth=4)
+    assert kept.stages[-1].getCacheNodeIds() and not walked.stages[-1].getCacheNodeIds()
+    assert kept.stages[-1].toDebugString.split("\n")[1:] == walked.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_train_all_fits_members_side_by_side(spark):
+    df = spark.createDataFrame([(i, int(i % 4 == 0), (i * 37 % 100) / 100) for i in range(50)], "event_id long, Class int, x double")
+    gate = threading.Barrier(2, timeout=60)           # two at once, or both fail here
+
+    def member(_):
+        gate.wait()
+        return lambda rows: rows.withColumn("p", F.col("x"))
+    got = ensemble.train_all(df, df, {"a": member, "b": member}, "Class", "event_id").collect()
+    assert sorted(r.model for r in got) == ["a", "b", "ensemble"] and all(r.error is None for r in got)
+
+
+def test_a_model_that_was_just_fitted_is_not_read_back(spark, tmp_path, monkeypatch):
+    df, read = labelled(spark, 60), []
+    fit = lambda: Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), LogisticRegression(labelCol="Class")]).fit(df)
+    load = persist.load_model
+    monkeypatch.setattr(persist, "load_model", lambda *a: read.append(1) or load(*a))
+    for times in (0, 1):
+        persist.stored(spark, str(tmp_path), "fresh", "logistic_regression", ["a", "b"], fit)
+        assert len(read) == times
+
+
 def test_train_all_skips_failures(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0), (i * 37 % 100) / 100) for i in range(200)], "event_id long, Class int, x double")
 
