@@ -96,3 +96,25 @@ def test_tomek_links_are_mutual_and_opposite(spark):
     cls = {r[0]: r[1] for r in rows}
     want = sorted((a, b) for a, b in nearest.items() if a < b and nearest[b] == a and cls[a] != cls[b])
     assert want and sorted(tuple(r) for r in O.tomek_links(df, "Class", ["a", "b"]).collect()) == want
+
+
+def test_vectors_of_queries_and_points_are_written_once(spark, monkeypatch):
+    """Points are cut into blocks once for both joins of the Tomek links; pairs of query and block are written without a vector each."""
+    rng = random.Random(11)
+    rows = [(i, i % 3 == 0, *[rng.gauss(0, 1) for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame([(i, int(c), *v) for i, c, *v in rows], "event_id long, Class int, a double, b double, c double")
+    kept = {}
+
+    def noted(frame, tag):
+        kept.setdefault(tag, []).append(out := whole(frame, tag))
+        return out
+    whole = N.written
+    monkeypatch.setattr(N, "written", noted)
+    got = {tuple(r) for r in O.tomek_links(df, "Class", ["a", "b", "c"]).collect()}
+    nearest = {i: min((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, _, *w in rows if j != i)[1] for i, _, *v in rows}
+    label = {i: c for i, c, *_ in rows}
+    assert got == {(i, j) for i, j in nearest.items() if i < j and nearest[j] == i and label[i] != label[j]}
+    assert len(kept["knn-blocks"]) == 1 and "knn-home" not in kept
+    small = N.Points(df, ["a", "b", "c"], block=8)
+    assert N.knn_join(df, small, ["a", "b", "c"], 3).count() == 1200
+    assert max(len(r.blocks) for r in kept["knn-rest"][-1].collect()) > 1 and kept["knn-rest"][-1].count() <= 400
