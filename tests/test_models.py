@@ -353,6 +353,16 @@ def test_saved_forests_are_walked_as_spark_walks_them(spark, tmp_path, monkeypat
     assert again.tree_spread(rows, "request_id", str(tmp_path / "m"))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_large_written_tables_are_not_shuffled_for_a_fit(spark, tmp_path, monkeypatch):
+    spark.range(0, 400, 1, 6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda **o: models.packed(df, 400, **o)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1, true" in plan(scanned=True)                 # a small one is dealt evenly
+    monkeypatch.setattr(models, "MOST_ROWS", 100)
+    assert "Repartition 4, false" in plan(scanned=True) and "Repartition 4, true" in plan()
+    assert models.packed(df, 400, scanned=True).count() == 400
+
+
 def test_forests_cache_node_numbers_up_to_a_bound(spark, monkeypatch):
     df = labelled(spark)
     kept = models.train(df, ["a", "b"], "random_forest", trees=3, depth=4)
