@@ -58,7 +58,7 @@ def shapley(rows: DataFrame, features: list[str], score: Callable[[DataFrame], D
     without dealing rows anew.  Per row and order, features go one by one from a background
     row (drawn by a hash of the id, or all of them) to the row's own value; the change of p
     belongs to the feature that moved.  A row's steps follow one another within a task, so
-    they are added up there and only sums leave it.  A null feature counts as 0.
+    they are added up there and only sums leave it.  A null feature is an error.
     """
     if not background:
         raise ValueError("no background rows")
@@ -70,13 +70,16 @@ def shapley(rows: DataFrame, features: list[str], score: Callable[[DataFrame], D
     steps = walks * (n + 1)
     id_type = rows.schema[id_col].dataType
     drawn = F.array(*[F.pmod(F.xxhash64(id_col, F.lit(m), F.lit(seed)), F.lit(n_ground)).cast("int") for m in range(len(some))])
-    x = rows.select(id_col, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"), drawn.alias("b"))
+    x = rows.select(id_col, F.array(*[F.col(c).cast("double") for c in features]).alias("x"), drawn.alias("b"))
 
     def mixed(batches):
         """(id_col, at, raw): the points of each row, one after another; ``at`` counts them."""
         at, most = 0, max(1, _POINTS // steps)
         for batch in batches:
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 1, 1, 1, n)
+            values = batch.column(1).flatten()
+            if values.null_count:
+                raise ValueError("a feature is null")
+            values = values.to_numpy(zero_copy_only=False).reshape(-1, 1, 1, 1, n)
             if every_background:
                 others = np.broadcast_to(ground[None, None, :, None, :], (batch.num_rows, 1, n_ground, 1, n))
             else:

@@ -6,6 +6,7 @@ import random
 import threading
 
 import numpy as np
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -313,21 +314,19 @@ def test_normal_draws_are_the_hashes_of_spark(spark):
 
 def test_explainers_make_points_in_arrays_and_sum_where_they_are(spark):
     """The walk of a row leaves its task as sums, and no expression is evaluated per point and feature."""
-    df = spark.createDataFrame([(i, float(i), 1.0, None if i == 2 else 2.0) for i in [1, 2, 3, 3]], "event_id long, a double, b double, c double")
+    df = spark.createDataFrame([(i, float(i), 1.0, 2.0) for i in [1, 2, 3, 3]], "event_id long, a double, b double, c double")
     names = ["a", "b", "c"]
     score = lambda f: f.withColumn("p", vector_to_array("raw")[0] + 2 * vector_to_array("raw")[2])
     values = shapley.shapley(df, names, score, [[0.0, 0.0, 0.0]], "event_id")
     for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in (values, surrogate.local_surrogate(df, names, score, samples=8))):
         assert plan.count("MapInArrow") == 2 and "lambda" not in plan and "Generate" not in plan
     got = {r.event_id: r for r in values.collect()}
-    assert sorted(got) == [1, 2, 3]                                  # rows of one id are one row, a null counts as 0
-    assert all(np.allclose(got[i].contributions, [i, 0, 0 if i == 2 else 4]) and got[i].base == 0 for i in got)
+    assert sorted(got) == [1, 2, 3]                                  # rows of one id are one row
+    assert all(np.allclose(got[i].contributions, [i, 0, 4]) and got[i].base == 0 for i in got)
     moved = lambda f: score(f).orderBy("p")
-    try:
-        shapley.shapley(df, names, moved, [[0.0, 0.0, 0.0]], "event_id").collect()
-        raise AssertionError("moved rows must not be summed")
-    except Exception as e:
-        assert "score has moved rows" in str(e)
+    for rows, by, said in ((df, moved, "score has moved rows"), (df.withColumn("c", F.lit(None).cast("double")), score, "a feature is null")):
+        with pytest.raises(Exception, match=said):
+            shapley.shapley(rows, names, by, [[0.0, 0.0, 0.0]], "event_id").collect()
 
 
 def test_saved_forests_are_walked_as_spark_walks_them(spark, tmp_path, monkeypatch):
